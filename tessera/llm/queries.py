@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, sharding, token_counts, toxicity
+from tessera.llm import decontamination, mixing, ngram_join, sharding, token_counts, toxicity
 from tessera.llm._io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_mixing, op5_decontamination, op6_sharding, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_mixing, op5_decontamination, op6_sharding, op8_ngram_join, op9_token_counts)}
 SQL: dict[str, str] = {}
