@@ -113,7 +113,7 @@ rule("ujs-no-remote-attribute", "ATTR", "warning", "name = 'data-remote'", "'Avo
 rule("ujs-prefer-turbo-confirm", "ATTR", "warning", "name = 'data-confirm'", "'Use `data-turbo-confirm`'")
 rule("ujs-prefer-turbo-method", "ATTR", "warning", "name = 'data-method'", "'Use `data-turbo-method`'")
 rule("ujs-prefer-turbo-submits-with", "ATTR", "warning", "name = 'data-disable-with'", "'Use `data-turbo-submits-with`'")
-rule("erb-no-interpolated-class-names", "ATTR", "warning", "name = 'class' and exists(sequence(1, size(parts) - 1), i -> size(parts) > 1 and i > 0 and i < size(parts) and ((parts[i].kind = 'erb_output' and parts[i - 1].kind = 'literal' and parts[i - 1].text rlike '\\\\S$') or (parts[i].kind = 'literal' and parts[i - 1].kind = 'erb_output' and parts[i].text rlike '^\\\\S')))", "'Interpolated class name'")
+rule("erb-no-interpolated-class-names", "ATTR", "warning", "name = 'class' and exists(sequence(1, size(parts) - 1), i -> size(parts) > 1 and i > 0 and i < size(parts) and ((get(parts, i).kind = 'erb_output' and get(parts, i - 1).kind = 'literal' and get(parts, i - 1).text rlike '\\\\S$') or (get(parts, i).kind = 'literal' and get(parts, i - 1).kind = 'erb_output' and get(parts, i).text rlike '^\\\\S')))", "'Interpolated class name'")
 rule("erb-no-output-in-attribute-name", "ATTR", "error", "exists(name_parts, p -> p.kind = 'erb_output')", "'Output in an attribute name'")
 rule("erb-no-silent-tag-in-attribute-name", "ATTR", "error", "exists(name_parts, p -> p.kind = 'erb_silent')", "'Silent tag in an attribute name'")
 rule("erb-no-raw-output-in-attribute-value", "ATTR", "error", "exists(parts, p -> p.opening = '<%==')", "'Raw output in an attribute value'")
@@ -125,7 +125,7 @@ rule("stimulus-action-format", "ATTR", "error", "name = 'data-action' and size(p
 rule("html-body-only-elements", "ELEM", "error", f"tag in {sql_list(H.BODY_ONLY)} and {_in('head')} and not {_in('body')}", "concat('`<', tag, '>` belongs in `<body>`')")
 rule("html-head-only-elements", "ELEM", "error", f"tag in {sql_list(H.HEAD_ONLY)} and {_in('body')} and not {_in('head')} and not (tag in ('title', 'style') and {_in('svg')}) and not (tag = 'meta' and {_has('itemprop')})", "concat('`<', tag, '>` belongs in `<head>`')")
 rule("html-details-has-summary", "ELEM", "warning", "tag = 'details' and not array_contains(child_tags, 'summary')", "'`<details>` needs a `<summary>`'")
-rule("html-no-block-inside-inline", "ELEM", "error", f"(tag in {sql_list(H.BLOCK)} or (tag not in {sql_list(H.INLINE | H.KNOWN_HTML)})) and element_at(ancestors, -1) in {sql_list(H.INLINE)}", "concat('Block element `<', tag, '>` inside an inline element')", False)
+rule("html-no-block-inside-inline", "ELEM", "error", f"(tag in {sql_list(H.BLOCK)} or (tag not in {sql_list(H.INLINE | H.KNOWN_HTML)})) and try_element_at(ancestors, -1) in {sql_list(H.INLINE)} and {_NOT_SVG}", "concat('Block element `<', tag, '>` inside an inline element')", False)
 rule("html-no-empty-headings", "ELEM", "warning", f"(tag in {sql_list(H.HEADINGS)} or {_val('role')} = 'heading') and not accessible and close <> 'missing'", "'Empty heading'")
 rule("html-no-inline-script-elements", "ELEM", "error", f"{_JS} and not ({_has('src')} and trim(direct_text) = '')", "'Avoid inline scripts'", False)
 rule("html-no-nested-forms", "ELEM", "error", f"tag = 'form' and {_in('form')}", "'Nested form'")
@@ -183,12 +183,12 @@ rule("actionview-no-implicit-polymorphic-url", "ERB", "info", f"{_OUTPUT} and co
 
 # blocks
 rule("erb-no-empty-control-flow", "BLOCK", "hint", "exists(branches, x -> x = 'empty') and control not in ('case', 'case_match')", "concat('Empty `', control, '` block')")
-rule("erb-no-case-node-children", "BLOCK", "error", "control in ('case', 'case_match') and branches[0] = 'full'", "'Content between case and its first condition'")
+rule("erb-no-case-node-children", "BLOCK", "error", "control in ('case', 'case_match') and get(branches, 0) = 'full'", "'Content between case and its first condition'")
 
 # text and sources
 rule("html-no-unescaped-entities", "TEXT", "warning", "content rlike '[<>]|&(?!(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)'", "'Unescaped character'", fixable="unsafe")
-rule("html-no-literal-nbsp", "TEXT", "error", "content like '% %'", "'Literal non-breaking space'", fixable="safe")
-rule("erb-no-byte-order-mark", "DOC", "error", "startswith(source, '﻿')", "'Byte order mark'", fixable="safe")
+rule("html-no-literal-nbsp", "TEXT", "error", "content like '%\u00a0%'", "'Literal non-breaking space'", fixable="safe")
+rule("erb-no-byte-order-mark", "DOC", "error", "startswith(source, '\ufeff')", "'Byte order mark'", fixable="safe")
 rule("erb-no-extra-newline", "DOC", "error", "source rlike '\\\\n{4,}'", "'More than two blank lines'", fixable="safe")
 rule("erb-require-trailing-newline", "DOC", "error", "path is not null and source <> '' and (not endswith(source, '\\n') or endswith(source, '\\n\\n'))", "'One newline needed at the end'", fixable="safe")
 rule("erb-no-trailing-whitespace", "DOC", "error", "source rlike '(?m)[ \\\\t\\\\r\\\\f]+$'", "'Trailing white space'", fixable="safe")
