@@ -58,7 +58,7 @@ def directives(t: Tables) -> DataFrame:
         t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:'")
         .withColumn("kind", F.regexp_extract("content", r"^\s*herb:(\w+)", 1))
         .withColumn("body", body)
-        .withColumn("names", F.filter(F.transform(F.split("body", ","), F.trim), lambda x: x != ""))
+        .withColumn("names", F.filter(F.transform(F.split("body", ","), lambda x: F.trim(x)), lambda x: x != ""))
         .select("doc_id", "line", "column", "kind", "body", "names", "content")
     )
 

@@ -68,7 +68,7 @@ def strict_locals(t: Tables) -> DataFrame:
     body = F.regexp_extract("content", r"^\s*locals:\s*\((.*)\)\s*$", 1)
     found = t.erb.where("opening = '<%#' and content rlike '^\\\\s*locals:\\\\s*\\\\('").withColumn("body", body)
     first = found.groupBy("doc_id").agg(F.min_by(F.struct("body", "line", "column"), F.col("pos")).alias("x")).select("doc_id", "x.*")
-    parts = first.withColumn("part", F.explode(F.filter(F.transform(F.split("body", r",(?![^\[({]*[\])}])"), F.trim), lambda x: x != "")))
+    parts = first.withColumn("part", F.explode(F.filter(F.transform(F.split("body", r",(?![^\[({]*[\])}])"), lambda x: F.trim(x)), lambda x: x != "")))
     part = F.col("part")
     kind = F.when(part.startswith("**"), "keyword_rest").when(part.startswith("*"), "rest").when(part.startswith("&"), "block").when(part.rlike(r"^\w+:"), "keyword").otherwise("positional")
     default = F.trim(F.regexp_replace(part, r"^\w+:\s*", ""))
@@ -108,7 +108,7 @@ def constants(t: Tables) -> DataFrame:
 def states(t: Tables) -> DataFrame:
     """Declared client state: (doc_id, name, default_source)."""
     body = F.regexp_extract("content", r"^\s*herb:state\s*\((.*)\)\s*$", 1)
-    part = F.explode(F.filter(F.transform(F.split(body, r",(?![^\[({]*[\])}])"), F.trim), lambda x: x != ""))
+    part = F.explode(F.filter(F.transform(F.split(body, r",(?![^\[({]*[\])}])"), lambda x: F.trim(x)), lambda x: x != ""))
     return t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:state'").select("doc_id", "line", "column", part.alias("part")).select(
         "doc_id", F.regexp_extract("part", r"^(\w+)", 1).alias("name"), F.trim(F.regexp_replace("part", r"^\w+:?\s*", "")).alias("default_source"), "line", "column"
     )
