@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.lint.catalogue import RULES, Rule
-from tessera.lint.relational import RELATIONAL, directives
+from tessera.lint.crossfile import CROSSFILE
+from tessera.lint.relational import RELATIONAL as _WINDOWED
+from tessera.lint.relational import directives
 from tessera.operators.tables import Tables
 
+RELATIONAL = [*_WINDOWED, *CROSSFILE]
 LEVELS = ("error", "warning", "info", "hint")
 
 
@@ -40,6 +43,8 @@ def selected(rule: Rule, config: Config) -> bool:
     """Named alone, then all, then the user's entry, then the version gate, then the default; the framework gate last."""
     if config.only:
         return rule.name in config.only
+    if rule.framework == "unset":
+        return not config.framework
     if rule.framework == "actionview" and config.framework != "actionview" and not config.all_rules:
         return False
     if config.all_rules:
