@@ -221,20 +221,20 @@ def test_url_rules_and_models(spark):
 # -- html
 PAGE = (
     "<html><head><title>T {i}</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Menu {i}</a></nav><div class='ad'>Buy {i}</div><article><h1>Title {i}</h1>"
-    "<p>One&nbsp;&amp; <b>t</b>wo {i}<br>three<p>Four<div class='notice'>Cookies</div><form>Mail</form><aside>Side</aside><section class='comments'>Nice {i}</section></article>"
+    "<p>One&nbsp;&amp; <b>t</b>wo {i}<br>three {i}<p>Four {i}<p>On every page<div class='notice'>Cookies</div><form>Mail</form><aside>Side</aside><section class='comments'>Nice {i}</section></article>"
     "<footer>&copy; {i}</footer><script>var t='</article>';</script>"
 )
 
 
 def test_extraction(spark):
     rows = [(i, f"http://h{i % 3}.org/{i}", PAGE.format(i=i)) for i in range(60)]
-    rows += [(100, "http://solo.org/", "<p>Plain &lt;text&gt;"), (101, None, None), (102, "x", ""), (103, "http://h1.org/q", "<div><main>Only " + "main " * 3 + "</main></div>"), (0, "http://h0.org/0", PAGE.format(i=0))]
+    rows += [(100, "http://solo.org/", "<p>Plain &lt;text&gt;"), (101, None, None), (102, "x", ""), (103, "http://h9.org/q", "<div><main>Only " + "main " * 3 + "</main></div>"), (0, "http://h0.org/0", PAGE.format(i=0))]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
     got = html_extraction.extract(df).collect()
     assert len(got) == len(rows)
     for x in got:
         if x.page_id < 60:
-            assert x.text == f"Title {x.page_id} One & two {x.page_id} three Four"
+            assert x.text == f"Title {x.page_id} One & two {x.page_id} three {x.page_id} Four {x.page_id}"
         assert x.n_chars == len(x.text)
     text = {x.page_id: x.text for x in got}
     assert [text[k] for k in (100, 101, 102, 103)] == ["Plain <text>", "", "", "Only main main main"]
