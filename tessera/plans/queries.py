@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.lint import engine as lint
 from tessera.lint.relational import directives
-from tessera.operators import diff, erb, extract, graph, textops
+from tessera.operators import diff, erb, extract, graph, rewrite, textops
+from tessera.operators import project as reports
 from tessera.operators.lexer import tokens
 from tessera.operators.parser import Options
 from tessera.operators.tables import Tables
@@ -407,6 +408,76 @@ def unified_diff(spark, sf_dir):
     return textops.unified_hunks(d).select("diff_id", "kind", "text")
 
 
+def _part_text(spark, sf_dir, before: str, after: str, change) -> DataFrame:
+    k = F.col("p_partkey")
+    return _read(spark, sf_dir, "part").select(k.alias("doc_id"), change(F.concat(F.lit(before), k.cast("string"), F.lit(after))).alias("source"))
+
+
+@query("select p_partkey as doc_id, '<a href=\"/p/' || p_partkey || '\" class=\"c\" data-x-y=\"1\">Go</a>' as source from part")
+def helpers_to_html(spark, sf_dir):
+    return _part_text(spark, sf_dir, '<%= link_to "Go", "/p/', '", class: "c", data: { x_y: 1 } %>', lambda c: rewrite.rewritten(c, rewrite.helpers_to_html))
+
+
+@query("select p_partkey as doc_id, '<%= link_to \"Go\", \"/p/' || p_partkey || '\", class: \"c\" %>' as source from part")
+def html_to_helpers(spark, sf_dir):
+    return _part_text(spark, sf_dir, '<a href="/p/', '" class="c">Go</a>', lambda c: rewrite.rewritten(c, rewrite.html_to_helpers))
+
+
+@query("select p_partkey as doc_id, '<% if ok %><%= p' || p_partkey || ' %><% end %>' as source from part")
+def conditionals_to_blocks(spark, sf_dir):
+    return _part_text(spark, sf_dir, "<%= p", " if ok %>", lambda c: rewrite.pipeline(c, rewrite.postfix_to_block, rewrite.ternary_to_block))
+
+
+@query("select p_partkey as doc_id, '<p lang=\"e' || p_partkey || '\"><%= x -%></p>' || chr(10) as source from part")
+def lint_autofix(spark, sf_dir):
+    return _part_text(spark, sf_dir, "<P lang='e", "'><%=x  =%></P>  \n\n", lambda c: rewrite.rewritten(c, rewrite.fixed))
+
+
+@query(f"select 1000 + r_regionkey as doc_id, '<%# locals: (title:, size: 1) %>' || chr(10) || '<section><h2><%= title %></h2>' || case when r_regionkey % 2 = 0 then '<p><%= size %></p>' else '' end || '<footer>x</footer>' || chr(10) || '</section>' || chr(10) as source from region")
+def inlined_partials(spark, sf_dir):
+    return rewrite.inline_partials(_project(spark, sf_dir)).where("path like '%regions/%'").select("doc_id", "source")
+
+
+@query("select p_partkey as doc_id, case p_partkey % 3 when 0 then 'block_in_p' when 1 then 'interactive_in_button' end as problem from part where p_partkey % 3 < 2")
+def nesting_validator(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 3 == 0, "<p><div>x</div></p>").when(k % 3 == 1, "<button><a href='/'>x</a></button>").otherwise("<p>x</p>").alias("source"))
+    return reports.nesting_errors(Tables(d)).select("doc_id", "problem")
+
+
+@query("select p_partkey as doc_id, case p_partkey % 3 when 0 then 'attribute_position' when 1 then 'attribute_name' end as problem from part where p_partkey % 3 < 2")
+def security_validator(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 3 == 0, "<p <%= x %>>x</p>").when(k % 3 == 1, '<p data-<%= x %>="1">x</p>').otherwise('<p a="<%= x %>">x</p>').alias("source"))
+    return reports.security_errors(Tables(d)).select("doc_id", "problem")
+
+
+@query("select case p_partkey % 4 when 0 then 'template' when 1 then 'strict' when 2 then 'analysis' else 'ok' end as status, count(*) as n from part group by 1")
+def project_status(spark, sf_dir):
+    k = F.col("p_partkey")
+    body = F.when(k % 4 == 0, "<b>x").when(k % 4 == 1, "<ul><li>x</ul>").when(k % 4 == 2, "<% end %>").otherwise("<p>x</p>")
+    return reports.status_counts(Tables(_read(spark, sf_dir, "part").select(k.alias("doc_id"), body.alias("source"))))
+
+
+@query()
+def tree_lines(spark, sf_dir):
+    return reports.tree_lines(_page_tables(spark, sf_dir))
+
+
+@query()
+def folding_ranges(spark, sf_dir):
+    return reports.folding_ranges(Tables(_pages(spark, sf_dir)))
+
+
+@query(_TAGS + "select page_id, count(*) as n from t where tag = 'b' or (tag = 'html' and page_id in (select page_id from pages where html not like '%</html>%')) or (tag = 'body' and page_id in (select page_id from pages where html not like '%</body>%')) group by page_id")
+def sql_functions(spark, sf_dir):
+    """The table functions from SQL: missing closing tags of each page."""
+    reports.register(prepare(spark))
+    _read(spark, sf_dir, "pages").createOrReplaceTempView("sql_functions_pages")
+    found = spark.sql("select page_id, e.name, e.message from sql_functions_pages, lateral parse_errors(html) e")
+    return found.where("name = 'MissingClosingTagError'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- streaming
 @query("select seq, type from (select page_id * 2 as seq, 'node_inserted' as type from pages where false) union all select page_id * 2 + 1, 'attribute_added' from pages")
 def stream_changes(spark, sf_dir):
