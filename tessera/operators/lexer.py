@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 #: Openers, longest first.
 _OPEN = r"<%==|<%%=|<%graphql|<%=|<%\#|<%-|<%%(?!>)|<%"
 _DATA = re.compile(
-    rf"""(?P<NEWLINE>\r\n|\r|\n)
-    |(?P<NBSP>\u00a0)
+    rf"""(?P<IDENTIFIER>[A-Za-z0-9](?:(?!--!?>)[A-Za-z0-9:_-])*)
     |(?P<WHITESPACE>[ \t\f\v]+)
+    |(?P<NEWLINE>\r\n|\r|\n)
+    |(?P<NBSP>\u00a0)
     |(?P<ERB_START>{_OPEN})
     |(?P<HTML_DOCTYPE>(?i:<!doctype))
     |(?P<XML_DECLARATION><\?xml(?![A-Za-z0-9:_-]))
@@ -28,7 +29,6 @@ _DATA = re.compile(
     |(?P<LT><)
     |(?P<HTML_TAG_SELF_CLOSE>/>)
     |(?P<HTML_TAG_END>>)
-    |(?P<IDENTIFIER>[A-Za-z0-9](?:(?!--!?>)[A-Za-z0-9:_-])*)
     |(?P<UNDERSCORE>_)|(?P<COLON>:)|(?P<AT>@)|(?P<SEMICOLON>;)|(?P<AMPERSAND>&)|(?P<EXCLAMATION>!)
     |(?P<EQUALS>=)|(?P<PERCENT>%)|(?P<SLASH>/)|(?P<DASH>-)|(?P<QUOTE>["'])|(?P<BACKTICK>`)|(?P<BACKSLASH>\\)
     |(?P<CHARACTER>.)""",
@@ -36,6 +36,7 @@ _DATA = re.compile(
 )
 _CONTENT = re.compile(r"(?:(?![%=-]?%>|<%).)*", re.S)
 _CLOSE = re.compile(r"%%>|=%>|-%>|%>")
+_BREAK = re.compile(r"\r\n|\r|\n")
 
 Token = tuple[str, str, int, int, int, int, int, int]
 
@@ -48,36 +49,37 @@ def lex(source: str | None) -> list[Token]:
     """
     source = source or ""
     out: list[Token] = []
+    put = out.append
     at, byte, line, column = 0, 0, 1, 0
-    ascii_only = source.isascii()
-
-    def put(kind: str, value: str) -> None:
-        nonlocal byte, line, column
-        size = len(value) if ascii_only else len(value.encode())
-        l0, c0 = line, column
-        breaks = value.count("\n") + len(re.findall(r"\r(?!\n)", value)) if "\n" in value or "\r" in value else 0
-        if breaks:
-            line += breaks
-            column = len(value) - max(value.rfind("\n"), value.rfind("\r")) - 1
-        else:
-            column += len(value)
-        out.append((kind, value, byte, byte + size, l0, c0, line, column))
-        byte += size
-
-    end = len(source)
+    plain = source.isascii()
+    match, end = _DATA.match, len(source)
     while at < end:
-        m = _DATA.match(source, at)
-        put(m.lastgroup, m.group())
+        m = match(source, at)
+        kind, value = m.lastgroup, m.group()
         at = m.end()
-        if m.lastgroup == "ERB_START":
-            c = _CONTENT.match(source, at)
-            put("ERB_CONTENT", c.group())
-            at = c.end()
+        size = len(value)
+        after = byte + (size if plain else len(value.encode("utf-8", "surrogatepass")))
+        if kind == "NEWLINE":
+            put((kind, value, byte, after, line, column, line + 1, 0))
+            line, column = line + 1, 0
+        else:
+            put((kind, value, byte, after, line, column, line, column + size))
+            column += size
+        byte = after
+        if kind == "ERB_START":
+            value = _CONTENT.match(source, at).group()
+            at += len(value)
+            after = byte + len(value.encode("utf-8", "surrogatepass"))
+            breaks = _BREAK.findall(value)
+            then = (line + len(breaks), len(value) - max(value.rfind("\n"), value.rfind("\r")) - 1) if breaks else (line, column + len(value))
+            put(("ERB_CONTENT", value, byte, after, line, column, *then))
+            byte, (line, column) = after, then
             e = _CLOSE.match(source, at)
             if e:
-                put("ERB_END", e.group())
-                at = e.end()
-    out.append(("EOF", "", byte, byte, line, column, line, column))
+                size = len(e.group())
+                put(("ERB_END", e.group(), byte, byte + size, line, column, line, column + size))
+                at, byte, column = at + size, byte + size, column + size
+    put(("EOF", "", byte, byte, line, column, line, column))
     return out
 
 

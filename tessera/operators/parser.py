@@ -107,15 +107,21 @@ class Parser:
                 a = text[0]
                 body = "".join(x[1] for x in text)
                 out.append(Item("text", a[4], a[5], a[2], text[-1][3], text=body))
-                if self.options.strict:
-                    for x in text:
-                        if x[0] == "PERCENT" and self.source and body.find("%>") >= 0:
-                            pass
+                if self.options.strict and "%>" in body:
                     self._stray(text)
                 text.clear()
 
-        while self.kind() != "EOF":
-            k = self.kind()
+        toks, plain = self.t, PLAIN
+        while True:
+            i = self.i
+            k = toks[i][0]
+            while k in plain:
+                text.append(toks[i])
+                i += 1
+                k = toks[i][0]
+            self.i = i
+            if k == "EOF":
+                break
             if k == "ERB_START":
                 flush()
                 out.append(self.erb())
@@ -515,6 +521,10 @@ class Parser:
         return self.matched(flat)
 
 
+#: Tokens that are always text between tags.
+PLAIN = frozenset(
+    "IDENTIFIER WHITESPACE NEWLINE NBSP CHARACTER UNDERSCORE COLON AT SEMICOLON AMPERSAND EXCLAMATION EQUALS PERCENT SLASH DASH QUOTE BACKTICK BACKSLASH LT HTML_TAG_END HTML_TAG_SELF_CLOSE".split()
+)
 OPENERS = frozenset(("if", "unless", "case", "case_match", "while", "until", "for", "begin", "block"))
 CONTINUES = {
     "elsif": ("if",),
