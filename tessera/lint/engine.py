@@ -14,6 +14,7 @@ from tessera.lint.crossfile import CROSSFILE
 from tessera.lint.relational import RELATIONAL as _WINDOWED
 from tessera.lint.relational import directives
 from tessera.operators.tables import Tables
+from tessera.session import checkpoint
 
 RELATIONAL = [*_WINDOWED, *CROSSFILE]
 LEVELS = ("error", "warning", "info", "hint")
@@ -95,16 +96,22 @@ def offenses(t: Tables, config: Config | None = None, suppress: bool = True) ->
     config = config or Config()
     spark = t.docs.sparkSession
     chosen = [r for r in RULES if selected(r, config)]
-    parts = by_conditions(t, chosen)
+    parts, rest = [], t
+    if config.gate:
+        failed = t.errors.select("doc_id").distinct()
+        rest = t.without(failed)
+        parts += by_conditions(t, [r for r in chosen if r.source == "ERROR"])
+        chosen = [r for r in chosen if r.source != "ERROR"]
+    parts += by_conditions(rest, chosen)
     for r, f in [*RELATIONAL, *config.custom]:
         if selected(r, config):
-            parts.append(f(t).select("doc_id", F.lit(r.name).alias("rule"), "line", "column", "message"))
+            parts.append(f(rest).select("doc_id", F.lit(r.name).alias("rule"), "line", "column", "message"))
     if not parts:
         return spark.createDataFrame([], "doc_id long, rule string, severity string, line int, column int, message string")
     found = reduce(DataFrame.unionByName, parts)
-    if config.gate:
-        failed = t.errors.select("doc_id").distinct()
-        found = found.where("rule = 'parser-no-errors'").unionByName(found.where("rule <> 'parser-no-errors'").join(failed, "doc_id", "left_anti"))
+    if suppress:
+        # the rules run once; suppression reads their offenses several times
+        found = checkpoint(found)
     for name, pattern in config.exclude.items():
         skip = t.docs.where(F.col("path").rlike(pattern)).select("doc_id", F.lit(name).alias("rule"))
         found = found.join(skip, ["doc_id", "rule"], "left_anti")

@@ -84,6 +84,13 @@ class Tables:
         if keep:
             self.rows = self.rows.persist()
 
+    def without(self, docs: DataFrame) -> Tables:
+        """The tables of the other documents than ``docs(doc_id)``."""
+        out = object.__new__(Tables)
+        out.docs = self.docs.join(docs, "doc_id", "left_anti")
+        out.rows = self.rows.join(docs, "doc_id", "left_anti")
+        return out
+
     def _kind(self, kind: str) -> DataFrame:
         return self.rows.where(F.col("kind") == kind)
 
