@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from tessera.functions.directives import named
 from tessera.functions import html_tables as H
 
 
@@ -182,7 +183,7 @@ rule("actionview-no-void-element-content", "ERB", "error", "content rlike '^\\\\
 rule("actionview-no-implicit-polymorphic-url", "ERB", "info", f"{_OUTPUT} and content rlike '^\\\\s*link_to\\\\s*\\\\(?[^,]+,\\\\s*(@[a-z_]+|\\\\[[^\\\\]]*\\\\])\\\\s*\\\\)?\\\\s*$'", "'Use a route helper'", framework="actionview")
 
 rule("erb-no-inline-case-conditions", "ERB", "warning", "opening <> '<%#' and content rlike '^\\\\s*case\\\\b[\\\\s\\\\S]*\\\\b(when|in)\\\\b'", "'`case` and its first condition in one tag'")
-rule("herb-config-framework-option", "ERB", "info", "content rlike '^\\\\s*(link_to|form_with|form_for|content_tag|image_tag|render)\\\\b'", "'Set the framework of the project'", framework="unset")
+rule(named("{word}-config-framework-option"), "ERB", "info", "content rlike '^\\\\s*(link_to|form_with|form_for|content_tag|image_tag|render)\\\\b'", "'Set the framework of the project'", framework="unset")
 
 # blocks
 rule("erb-no-empty-control-flow", "BLOCK", "hint", "exists(branches, x -> x = 'empty') and control not in ('case', 'case_match')", "concat('Empty `', control, '` block')")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.lint.catalogue import Rule, sql_list
 from tessera.operators import erb, graph
 from tessera.operators.tables import Tables
@@ -106,7 +107,7 @@ def _kind(source: Column) -> Column:
 def state_declarations(t: Tables) -> DataFrame:
     rows = erb.states(t).withColumn("kind", _kind(F.col("default_source")))
     bad = rows.where("kind in ('missing', 'float', 'array', 'hash') or not name rlike '^[a-z_]'")
-    broken = t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:state' and content not rlike '^\\\\s*herb:state\\\\s*\\\\(.*\\\\)\\\\s*$'")
+    broken = t.erb.where(named("opening = '<%#' and content rlike '^\\\\s*{word}:state' and content not rlike '^\\\\s*{word}:state\\\\s*\\\\(.*\\\\)\\\\s*$'"))
     return _offense(bad, "concat('State `', name, '` has a ', kind, ' default')").unionByName(_offense(broken, "'State declaration does not parse'"))
 
 
@@ -115,14 +116,14 @@ def state_unused(t: Tables) -> DataFrame:
 
 
 def state_client_mode(t: Tables) -> DataFrame:
-    client = t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:slots\\\\s+client\\\\s*$'").select("doc_id").distinct()
+    client = t.erb.where(named("opening = '<%#' and content rlike '^\\\\s*{word}:slots\\\\s+client\\\\s*$'")).select("doc_id").distinct()
     first = erb.states(t).groupBy("doc_id").agg(F.min(F.struct("line", "column")).alias("x")).select("doc_id", "x.*")
     return _offense(first.join(client, "doc_id", "left_anti"), "'States need client-mode slots'")
 
 
 def _actions(t: Tables) -> DataFrame:
     """A row for each state that an action attribute names: operation, state and assigned value."""
-    acts = t.attributes.where("name rlike '^data-herb-(set|toggle|increment|decrement|reset)$' and size(parts) = 1")
+    acts = t.attributes.where(named("name rlike '^data-{word}-(set|toggle|increment|decrement|reset)$' and size(parts) = 1"))
     clause = F.explode(F.filter(F.transform(F.split("value", ";"), lambda x: F.trim(F.regexp_replace(x, "^\\s*[a-z:]+->", ""))), lambda x: x != ""))
     one = acts.select("doc_id", "line", "column", F.substring_index("name", "-", -1).alias("operation"), clause.alias("clause"))
     item = F.explode(F.filter(F.transform(F.split("clause", r"[,\s]+"), lambda x: F.trim(x)), lambda x: x != ""))
@@ -159,15 +160,15 @@ def state_reads(t: Tables) -> DataFrame:
 
 
 def into_requires_collection(t: Tables) -> DataFrame:
-    named = t.attributes.where("name = 'data-herb-name' and size(parts) = 1").select("doc_id", F.col("node_id"), F.trim("value").alias("target"))
-    loops = t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:key\\\\b'").select("doc_id").distinct()
-    keyed = named.join(loops, "doc_id", "left_semi").select("doc_id", "target").distinct()
-    targets = t.attributes.where("name = 'data-herb-into'").withColumn("target", F.when(F.expr("exists(parts, p -> p.kind = 'erb_output')"), "").otherwise(F.trim(F.coalesce("value", F.lit("")))))
-    return _offense(targets.join(keyed, ["doc_id", "target"], "left_anti"), "'`data-herb-into` names no keyed collection'")
+    slots = t.attributes.where(named("name = 'data-{word}-name' and size(parts) = 1")).select("doc_id", F.col("node_id"), F.trim("value").alias("target"))
+    loops = t.erb.where(named("opening = '<%#' and content rlike '^\\\\s*{word}:key\\\\b'")).select("doc_id").distinct()
+    keyed = slots.join(loops, "doc_id", "left_semi").select("doc_id", "target").distinct()
+    targets = t.attributes.where(named("name = 'data-{word}-into'")).withColumn("target", F.when(F.expr("exists(parts, p -> p.kind = 'erb_output')"), "").otherwise(F.trim(F.coalesce("value", F.lit("")))))
+    return _offense(targets.join(keyed, ["doc_id", "target"], "left_anti"), named("'`data-{word}-into` names no keyed collection'"))
 
 
 def slot_names(t: Tables) -> DataFrame:
-    rows = t.attributes.where("name = 'data-herb-name'")
+    rows = t.attributes.where(named("name = 'data-{word}-name'"))
     blank = rows.where("exists(parts, p -> p.kind = 'erb_output') or trim(coalesce(value, '')) = ''")
     counted = rows.where("size(parts) = 1 and trim(value) <> ''").withColumn("slot", F.trim("value"))
     first = counted.groupBy("doc_id", "slot").agg(F.min("node_id").alias("first"))
@@ -189,14 +190,14 @@ CROSSFILE: list[tuple[Rule, Callable[[Tables], DataFrame]]] = [
     (_rule("erb-no-conditional-html-element", "error"), conditional_html_element),
     (_rule("erb-no-conditional-open-tag", "error"), conditional_open_tag),
     (_rule("erb-no-duplicate-branch-elements", "warning"), duplicate_branch_elements),
-    (_rule("herb-state-valid-declaration", "error"), state_declarations),
-    (_rule("herb-state-no-unused-states", "warning"), state_unused),
-    (_rule("herb-state-requires-client-mode", "error"), state_client_mode),
-    (_rule("herb-state-valid-actions", "error"), state_actions),
-    (_rule("herb-state-valid-bindings", "error"), state_bindings),
-    (_rule("herb-state-valid-reads", "error"), state_reads),
-    (_rule("herb-into-requires-collection", "error"), into_requires_collection),
-    (_rule("herb-valid-slot-names", "error"), slot_names),
+    (_rule(named("{word}-state-valid-declaration"), "error"), state_declarations),
+    (_rule(named("{word}-state-no-unused-states"), "warning"), state_unused),
+    (_rule(named("{word}-state-requires-client-mode"), "error"), state_client_mode),
+    (_rule(named("{word}-state-valid-actions"), "error"), state_actions),
+    (_rule(named("{word}-state-valid-bindings"), "error"), state_bindings),
+    (_rule(named("{word}-state-valid-reads"), "error"), state_reads),
+    (_rule(named("{word}-into-requires-collection"), "error"), into_requires_collection),
+    (_rule(named("{word}-valid-slot-names"), "error"), slot_names),
 ]
 
 

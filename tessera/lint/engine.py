@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.lint.catalogue import RULES, Rule
 from tessera.lint.crossfile import CROSSFILE
 from tessera.lint.relational import RELATIONAL as _WINDOWED
@@ -116,26 +117,26 @@ def offenses(t: Tables, config: Config | None = None, suppress: bool = True) ->
         skip = t.docs.where(F.col("path").rlike(pattern)).select("doc_id", F.lit(name).alias("rule"))
         found = found.join(skip, ["doc_id", "rule"], "left_anti")
     if suppress:
-        found = suppressed(t, found, unnecessary="herb-disable-comment-unnecessary" in config.only or not config.only)
+        found = suppressed(t, found, unnecessary=named("{word}-disable-comment-unnecessary") in config.only or not config.only)
     level = F.create_map(*[F.lit(x) for r in [*RULES, *(r for r, _ in RELATIONAL), *(r for r, _ in config.custom)] for x in (r.name, config.severities.get(r.name, r.severity))])
     severity = F.coalesce(level[F.col("rule")], F.lit("warning"))
     return found.select("doc_id", "rule", severity.alias("severity"), "line", "column", "message")
 
 
 def suppressed(t: Tables, found: DataFrame, unnecessary: bool = True) -> DataFrame:
-    """Offenses left by ``herb:disable`` comments of their line and by whole-file ignores; then comments that hid nothing."""
+    """Offenses left by ``<word>:disable`` comments of their line and by whole-file ignores; then comments that hid nothing."""
     d = directives(t)
     ignored = d.where("kind = 'linter' and body = 'ignore'").select("doc_id").distinct()
     found = found.join(ignored, "doc_id", "left_anti")
     hides = d.where("kind = 'disable'").select("doc_id", "line", F.explode("names").alias("hidden")).distinct()
-    named = hides.where("hidden <> 'all'").select("doc_id", "line", F.col("hidden").alias("rule"))
+    single = hides.where("hidden <> 'all'").select("doc_id", "line", F.col("hidden").alias("rule"))
     every = hides.where("hidden = 'all'").select("doc_id", "line")
-    left = found.join(named, ["doc_id", "line", "rule"], "left_anti").join(every, ["doc_id", "line"], "left_anti")
+    left = found.join(single, ["doc_id", "line", "rule"], "left_anti").join(every, ["doc_id", "line"], "left_anti")
     if not unnecessary:
         return left.select(*found.columns)
     used = found.select("doc_id", "line", F.explode(F.array("rule", F.lit("all"))).alias("hidden")).distinct()
     idle = hides.join(used, ["doc_id", "line", "hidden"], "left_anti")
-    idle = idle.select("doc_id", F.lit("herb-disable-comment-unnecessary").alias("rule"), "line", F.lit(0).alias("column"), F.concat(F.lit("Nothing to disable for `"), "hidden", F.lit("`")).alias("message"))
+    idle = idle.select("doc_id", F.lit(named("{word}-disable-comment-unnecessary")).alias("rule"), "line", F.lit(0).alias("column"), F.concat(F.lit("Nothing to disable for `"), "hidden", F.lit("`")).alias("message"))
     return left.select(*found.columns).unionByName(idle.select(*found.columns))
 
 

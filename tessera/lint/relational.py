@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.lint.catalogue import Rule
 from tessera.operators.tables import Tables
 
@@ -52,11 +53,11 @@ def duplicate_disabled_rules(t: Tables) -> DataFrame:
 
 
 def directives(t: Tables) -> DataFrame:
-    """``herb:`` comments: kind (disable, linter ignore, formatter ignore, state, slots), text and listed names."""
-    body = F.regexp_extract("content", r"^\s*herb:(\w+)\s*([\s\S]*?)\s*$", 2)
+    """``<word>:`` comments: kind (disable, linter ignore, formatter ignore, state, slots), text and listed names."""
+    body = F.regexp_extract("content", named(r"^\s*{word}:(\w+)\s*([\s\S]*?)\s*$"), 2)
     return (
-        t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:'")
-        .withColumn("kind", F.regexp_extract("content", r"^\s*herb:(\w+)", 1))
+        t.erb.where(named("opening = '<%#' and content rlike '^\\\\s*{word}:'"))
+        .withColumn("kind", F.regexp_extract("content", named(r"^\s*{word}:(\w+)"), 1))
         .withColumn("body", body)
         .withColumn("names", F.filter(F.transform(F.split("body", ","), lambda x: F.trim(x)), lambda x: x != ""))
         .select("doc_id", "line", "column", "kind", "body", "names", "content")
@@ -64,11 +65,11 @@ def directives(t: Tables) -> DataFrame:
 
 
 def disable_missing(t: Tables) -> DataFrame:
-    return _offense(directives(t).where("kind = 'disable' and body = ''"), "'`herb:disable` names no rule'")
+    return _offense(directives(t).where("kind = 'disable' and body = ''"), named("'`{word}:disable` names no rule'"))
 
 
 def disable_malformed(t: Tables) -> DataFrame:
-    return _offense(directives(t).where("kind = 'disable' and body rlike '^,|,\\\\s*,|,$'"), "'Malformed `herb:disable`'")
+    return _offense(directives(t).where("kind = 'disable' and body rlike '^,|,\\\\s*,|,$'"), named("'Malformed `{word}:disable`'"))
 
 
 def disable_redundant_all(t: Tables) -> DataFrame:
@@ -154,11 +155,11 @@ RELATIONAL: list[tuple[Rule, Callable[[Tables], DataFrame]]] = [
     (Rule("html-no-duplicate-attributes", "WINDOW", "error", True, "", ""), duplicate_attributes),
     (Rule("html-no-duplicate-ids", "WINDOW", "error", True, "", ""), duplicate_ids),
     (Rule("html-no-duplicate-meta-names", "WINDOW", "error", True, "", ""), duplicate_meta_names),
-    (Rule("herb-disable-comment-no-duplicate-rules", "DIR", "warning", True, "", ""), duplicate_disabled_rules),
-    (Rule("herb-disable-comment-missing-rules", "DIR", "error", True, "", ""), disable_missing),
-    (Rule("herb-disable-comment-malformed", "DIR", "error", True, "", ""), disable_malformed),
-    (Rule("herb-disable-comment-no-redundant-all", "DIR", "warning", True, "", ""), disable_redundant_all),
-    (Rule("herb-disable-comment-valid-rule-name", "DIR", "warning", True, "", ""), disable_valid_name),
+    (Rule(named("{word}-disable-comment-no-duplicate-rules"), "DIR", "warning", True, "", ""), duplicate_disabled_rules),
+    (Rule(named("{word}-disable-comment-missing-rules"), "DIR", "error", True, "", ""), disable_missing),
+    (Rule(named("{word}-disable-comment-malformed"), "DIR", "error", True, "", ""), disable_malformed),
+    (Rule(named("{word}-disable-comment-no-redundant-all"), "DIR", "warning", True, "", ""), disable_redundant_all),
+    (Rule(named("{word}-disable-comment-valid-rule-name"), "DIR", "warning", True, "", ""), disable_valid_name),
     (Rule("actionview-no-unused-strict-locals", "ERB", "error", True, "", "", framework="actionview"), unused_strict_locals),
     (Rule("erb-strict-locals-required", "ERB", "error", False, "", ""), strict_locals_required),
     (Rule("erb-no-unused-local-variable", "ERB", "error", True, "", ""), unused_local_variable),

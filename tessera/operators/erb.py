@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.operators.tables import Tables
 
 RENDER_KEYS = ("partial", "template", "layout", "file", "inline", "body", "plain", "html", "renderable", "collection", "object", "as", "spacer_template", "formats", "variants", "handlers", "content_type")
@@ -107,14 +108,14 @@ def constants(t: Tables) -> DataFrame:
 
 def states(t: Tables) -> DataFrame:
     """Declared client state: (doc_id, name, default_source)."""
-    body = F.regexp_extract("content", r"^\s*herb:state\s*\((.*)\)\s*$", 1)
+    body = F.regexp_extract("content", named(r"^\s*{word}:state\s*\((.*)\)\s*$"), 1)
     part = F.explode(F.filter(F.transform(F.split(body, r",(?![^\[({]*[\])}])"), lambda x: F.trim(x)), lambda x: x != ""))
-    return t.erb.where("opening = '<%#' and content rlike '^\\\\s*herb:state'").select("doc_id", "line", "column", part.alias("part")).select(
+    return t.erb.where(named("opening = '<%#' and content rlike '^\\\\s*{word}:state'")).select("doc_id", "line", "column", part.alias("part")).select(
         "doc_id", F.regexp_extract("part", r"^(\w+)", 1).alias("name"), F.trim(F.regexp_replace("part", r"^\w+:?\s*", "")).alias("default_source"), "line", "column"
     )
 
 
 def unused_states(t: Tables) -> DataFrame:
-    acts = t.attributes.where("name rlike '^data-herb-(set|toggle|increment|decrement|reset)$'").select("doc_id", F.explode(F.regexp_extract_all("value", F.lit(r"(\w+)"), F.lit(1))).alias("name"))
+    acts = t.attributes.where(named("name rlike '^data-{word}-(set|toggle|increment|decrement|reset)$'")).select("doc_id", F.explode(F.regexp_extract_all("value", F.lit(r"(\w+)"), F.lit(1))).alias("name"))
     used = words(t).select("doc_id", "name").unionByName(acts).distinct()
     return states(t).join(used, ["doc_id", "name"], "left_anti")

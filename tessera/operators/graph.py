@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.operators import erb
 from tessera.operators.tables import Tables
 from tessera.session import checkpoint
 
 #: Template extensions in order of precedence.
-EXTENSIONS = (".html.erb", ".html.herb", ".turbo_stream.erb", ".erb", ".herb", ".rhtml", ".html")
+EXTENSIONS = (".html.erb", named(".html.{word}"), ".turbo_stream.erb", ".erb", named(".{word}"), ".rhtml", ".html")
 MAX_ROUNDS = 64
 MAX_CHAINS = 32
 

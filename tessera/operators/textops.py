@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.functions.directives import named
 from tessera.functions.html_tables import VOID
 from tessera.operators.lexer import lex
 from tessera.operators.parser import Item, Options, Parser
@@ -86,7 +87,7 @@ def print_identity(c: Column) -> Column:
 
 def is_scaffold(c: Column) -> Column:
     """Generator templates (``<%%``) and templates with an ignore comment are not formatted."""
-    return c.rlike(r"<%%=?") | c.rlike(r"<%#\s*herb:formatter ignore\s*%>")
+    return c.rlike(r"<%%=?") | c.rlike(named(r"<%#\s*{word}:formatter ignore\s*%>"))
 
 
 def _tag(x: Item) -> str:
@@ -105,7 +106,7 @@ def format_source(source: str | None, width: int = 80, indent: int = 2) -> str |
     Sources with parse errors, scaffolds and ignored templates stay as they are;
     preformatted elements keep their body.
     """
-    if source is None or "<%%" in source or "herb:formatter ignore" in source:
+    if source is None or "<%%" in source or named("{word}:formatter ignore") in source:
         return source
     p = Parser(source, Options(strict=False))
     tree = p.tree()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.lint import engine as lint
 from tessera.lint.relational import directives
 from tessera.operators import diff, erb, extract, graph, rewrite, textops
@@ -188,27 +189,27 @@ def lint_gate(spark, sf_dir):
     return lint.offenses(t).where("rule not like 'erb-%' and rule not like 'source-%'").groupBy("rule").agg(F.countDistinct("doc_id").alias("docs"))
 
 
-@query("select p_partkey as doc_id, 'html-img-require-alt' as rule from part where p_partkey % 3 = 0 union all select p_partkey, 'herb-disable-comment-unnecessary' from part where p_partkey % 3 = 1 and p_partkey % 2 = 0")
+@query(named("select p_partkey as doc_id, 'html-img-require-alt' as rule from part where p_partkey % 3 = 0 union all select p_partkey, '{word}-disable-comment-unnecessary' from part where p_partkey % 3 = 1 and p_partkey % 2 = 0"))
 def lint_suppressed(spark, sf_dir):
     """Directives of a line hide its offenses; a directive that hides nothing is an offense."""
     k = F.col("p_partkey")
-    body = F.when(k % 3 == 0, '<img src="x">').when(k % 3 == 1, F.when(k % 2 == 0, '<img src="x" alt="y"> <%# herb:disable html-img-require-alt %>').otherwise('<img src="x" alt="y">')).otherwise('<img src="x"> <%# herb:disable all %>')
+    body = F.when(k % 3 == 0, '<img src="x">').when(k % 3 == 1, F.when(k % 2 == 0, named('<img src="x" alt="y"> <%# {word}:disable html-img-require-alt %>')).otherwise('<img src="x" alt="y">')).otherwise(named('<img src="x"> <%# {word}:disable all %>'))
     t = Tables(_read(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(body, F.lit("\n")).alias("source")))
-    return lint.offenses(t, lint.Config(only=("html-img-require-alt", "herb-disable-comment-unnecessary"), gate=False)).select("doc_id", "rule")
+    return lint.offenses(t, lint.Config(only=("html-img-require-alt", named("{word}-disable-comment-unnecessary")), gate=False)).select("doc_id", "rule")
 
 
 @query("select count(*) as n from part where p_partkey % 3 = 2")
 def lint_directives(spark, sf_dir):
     k = F.col("p_partkey")
-    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 3 == 2, "<%# herb:disable a, b %>").otherwise("<%# note %>").alias("source"))
+    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 3 == 2, named("<%# {word}:disable a, b %>")).otherwise("<%# note %>").alias("source"))
     return directives(Tables(d)).where("size(names) = 2").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select p_partkey as doc_id, 'Unknown rule `html-img-require-al`. Did you mean `html-img-require-alt`?' as message from part where p_partkey % 4 = 1")
 def lint_unknown_names(spark, sf_dir):
     k = F.col("p_partkey")
-    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 4 == 1, "<%# herb:disable html-img-require-al %>").otherwise("<%# herb:disable html-img-require-alt %>").alias("source"))
-    return lint.offenses(Tables(d), lint.Config(only=("herb-disable-comment-valid-rule-name",), gate=False)).select("doc_id", "message")
+    d = _read(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 4 == 1, named("<%# {word}:disable html-img-require-al %>")).otherwise(named("<%# {word}:disable html-img-require-alt %>")).alias("source"))
+    return lint.offenses(Tables(d), lint.Config(only=(named("{word}-disable-comment-valid-rule-name"),), gate=False)).select("doc_id", "message")
 
 
 @query("select p_partkey as doc_id, '::warning file=p/' || p_partkey || ',line=1,col=1::`<img>` needs `alt` (html-img-require-alt)' as annotation from part where p_partkey % 5 = 0")

@@ -9,10 +9,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.directives import named
 from tessera.session import prepare
 
 #: Default file patterns of a project.
-INCLUDE = ("*.herb", "*.html.erb", "*.html.herb", "*.html", "*.rhtml", "*.turbo_stream.erb")
+INCLUDE = (named("*.{word}"), "*.html.erb", named("*.html.{word}"), "*.html", "*.rhtml", "*.turbo_stream.erb")
 EXCLUDE = ("coverage", "log", "node_modules", "storage", "tmp", "vendor")
 
 

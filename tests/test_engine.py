@@ -100,7 +100,7 @@ def test_diff_pairs(spark):
 
 
 def test_lint_gate_and_suppression(spark):
-    docs = [(1, "<img src='a'>\n"), (2, "<div><img src='a'>\n"), (3, "<img src='a'> <%# herb:disable html-img-require-alt %>\n"), (4, "<%# herb:linter ignore %>\n<img src='a'>\n"), (5, None), (6, "")]
+    docs = [(1, "<img src='a'>\n"), (2, "<div><img src='a'>\n"), (3, "<img src='a'> <%# tpl:disable html-img-require-alt %>\n"), (4, "<%# tpl:linter ignore %>\n<img src='a'>\n"), (5, None), (6, "")]
     t = Tables(spark.createDataFrame(docs, "doc_id long, source string"))
     got = sorted((r.doc_id, r.rule, r.severity) for r in lint.offenses(t).collect())
     assert [x for x in got if x[0] == 1] == [(1, "html-attribute-double-quotes", "warning"), (1, "html-img-require-alt", "warning")]

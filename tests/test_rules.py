@@ -14,14 +14,14 @@ CASES = {
     "erb-no-conditional-open-tag": (["<% if a %><div id='x'><% else %><div><% end %></div>"], ["<% if a %><div></div><% else %><p></p><% end %>"]),
     "erb-no-duplicate-branch-elements": (["<% if a %><p>x</p><% else %><p>y</p><% end %>"], ["<% if a %><p>x</p><% else %><i>y</i><% end %>", "<% if a %><p>x</p><% end %>"]),
     "erb-no-inline-case-conditions": (["<% case a when 1 %>x<% end %>"], ["<% case a %><% when 1 %>x<% end %>"]),
-    "herb-state-valid-declaration": (["<%# herb:state (a: 1.5) %>", "<%# herb:state a %>"], ["<%# herb:state (a: 1, b: false) %>"]),
-    "herb-state-no-unused-states": (["<%# herb:state (a: 1) %>"], ["<%# herb:state (a: 1) %><%= a %>", "<%# herb:state (a: 1) %><p data-herb-increment=\"a\">x</p>"]),
-    "herb-state-requires-client-mode": (["<%# herb:state (a: 1) %>"], ["<%# herb:slots client %><%# herb:state (a: 1) %>"]),
-    "herb-state-valid-actions": (["<%# herb:state (a: 1) %><p data-herb-toggle=\"a\">x</p>", "<p data-herb-toggle=\"b\">x</p>"], ["<%# herb:state (a: false) %><p data-herb-toggle=\"click->a\">x</p>"]),
-    "herb-state-valid-bindings": (["<%# herb:state (a: 1) %><input checked=\"<%= a %>\">"], ["<%# herb:state (a: true) %><input checked=\"<%= a %>\">"]),
-    "herb-state-valid-reads": (["<%# herb:state (a: 1) %><% if a? %>x<% end %>"], ["<%# herb:state (a: true) %><% if a? %>x<% end %>"]),
-    "herb-into-requires-collection": (["<form data-herb-into=\"xs\"></form>"], ["<%# herb:key id %><ul data-herb-name=\"xs\"></ul><form data-herb-into=\"xs\"></form>"]),
-    "herb-valid-slot-names": (["<p data-herb-name=\"\">x</p>", "<p data-herb-name=\"a\">x</p><p data-herb-name=\"a\">x</p>"], ["<p data-herb-name=\"a\">x</p>"]),
+    "tpl-state-valid-declaration": (["<%# tpl:state (a: 1.5) %>", "<%# tpl:state a %>"], ["<%# tpl:state (a: 1, b: false) %>"]),
+    "tpl-state-no-unused-states": (["<%# tpl:state (a: 1) %>"], ["<%# tpl:state (a: 1) %><%= a %>", "<%# tpl:state (a: 1) %><p data-tpl-increment=\"a\">x</p>"]),
+    "tpl-state-requires-client-mode": (["<%# tpl:state (a: 1) %>"], ["<%# tpl:slots client %><%# tpl:state (a: 1) %>"]),
+    "tpl-state-valid-actions": (["<%# tpl:state (a: 1) %><p data-tpl-toggle=\"a\">x</p>", "<p data-tpl-toggle=\"b\">x</p>"], ["<%# tpl:state (a: false) %><p data-tpl-toggle=\"click->a\">x</p>"]),
+    "tpl-state-valid-bindings": (["<%# tpl:state (a: 1) %><input checked=\"<%= a %>\">"], ["<%# tpl:state (a: true) %><input checked=\"<%= a %>\">"]),
+    "tpl-state-valid-reads": (["<%# tpl:state (a: 1) %><% if a? %>x<% end %>"], ["<%# tpl:state (a: true) %><% if a? %>x<% end %>"]),
+    "tpl-into-requires-collection": (["<form data-tpl-into=\"xs\"></form>"], ["<%# tpl:key id %><ul data-tpl-name=\"xs\"></ul><form data-tpl-into=\"xs\"></form>"]),
+    "tpl-valid-slot-names": (["<p data-tpl-name=\"\">x</p>", "<p data-tpl-name=\"a\">x</p><p data-tpl-name=\"a\">x</p>"], ["<p data-tpl-name=\"a\">x</p>"]),
     "erb-no-unused-local-variable": (["<% a = 1 %>"], ["<% a = 1 %><%= a %>"]),
     "erb-no-shadowed-block-argument": (["<% xs.each do |x| %><% x.each do |x| %><%= x %><% end %><% end %>"], ["<% xs.each do |x| %><%= x %><% end %><% xs.each do |x| %><%= x %><% end %>"]),
     "actionview-no-dynamic-partial-path": (["<%= render \"a/#{b}\" %>"], ["<%= render \"a/b\" %>"]),
