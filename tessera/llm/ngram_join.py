@@ -41,6 +41,8 @@ from tessera.llm._text import shingles, word_hashes
 from tessera.session import checkpoint
 
 TABLE_BITS = 20
+#: Bits of the filter by which a scan finds candidates' documents.
+FILTER_BITS = 24
 _CHUNK_BITS = 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -154,22 +156,37 @@ def viable(x: str, y: str) -> F.Column:
     return F.expr(_VIABLE.replace("{x}", x).replace("{y}", y))
 
 
+def _bitmap(ids: DataFrame) -> Broadcast:
+    """A bitmap of fixed size in which the bits of all ``ids(doc_id)`` are set: a filter that lets some others pass."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) words
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets reach the similarity, by binary probes.
 
-    Only texts of documents that stand for a candidate node are read again.
+    Texts are not shuffled: a scan builds the sets of the documents that stand
+    for a candidate, which a bitmap of their ids tells from most others.
     """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     stand = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = docs.join(stand.select("doc_id").distinct(), "doc_id", "left_semi")
+    bits = _bitmap(stand.select("doc_id"))
 
     def sets(batches: Batches) -> Batches:
+        have = bits.value
         for b in batches:
+            h, bit = (b.column(n).to_numpy() for n in ("word", "bit"))
+            b = b.filter(pa.array((have[h] >> bit) & 1 == 1))
             found = [shingle_set(t) for t in as_bytes(b.column("text"))]
             found = [s for s in found if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
 
-    made = texts.select("text").mapInArrow(sets, "node long, s binary")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    made = docs.select(F.shiftright(hashed, 6).alias("word"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bit"), "text").mapInArrow(sets, "node long, s binary")
     both = pairs.join(made.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
 
     def probe(batches: Batches) -> Batches:
