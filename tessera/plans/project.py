@@ -2,8 +2,8 @@
 
 Built by concatenation only, so its facts can be restated over the keys in SQL.
 Nations render their region, regions render a footer that exists, suppliers
-render a brand by ``s_suppkey % 31`` (some brands do not exist), and brands up to
-5 render the brand 20 above.
+render a brand by ``s_suppkey % 19`` (brand 0 does not exist, the last ones are rendered by
+none), and brands up to 5 render the brand 20 above.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<li><%= name %></li>\n"), F.when(b <= 5, F.concat(F.lit('<%= render "brand_'), (b + 20).cast("string"), F.lit('", name: name %>\n'))).otherwise("")).alias("source"),
     )
     s = F.col("s_suppkey")
-    suppliers = supplier.where("s_suppkey % 31 not between 20 and 25").select(
+    suppliers = supplier.select(
         (s + 10000).alias("doc_id"), F.concat(F.lit("app/views/suppliers/"), s.cast("string"), F.lit(".html.erb")).alias("path"),
-        F.concat(F.lit("<ul><%= render partial: 'parts/brand_"), (s % 31).cast("string"), F.lit("', locals: { name: @supplier.name } %></ul>\n")).alias("source"),
+        F.concat(F.lit("<ul><%= render partial: 'parts/brand_"), (s % 19).cast("string"), F.lit("', locals: { name: @supplier.name } %></ul>\n")).alias("source"),
     )
     footer = spark.createDataFrame([(1, "app/views/shared/_footer.html.erb", "<footer>x</footer>\n"), (2, "app/views/shared/_footer.erb", "<footer>y</footer>\n")], "doc_id long, path string, source string")
     return footer.unionByName(regions).unionByName(nations).unionByName(brands).unionByName(suppliers)
