@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._graph import components
+from tessera.llm._graph import components, lookup
 from tessera.llm._io import Batches, as_bytes, columns
 from tessera.llm._text import shingles, word_hashes
 from tessera.session import checkpoint
@@ -242,7 +242,9 @@ def link(docs: DataFrame) -> DataFrame:
         links = links.unionByName(verified(more, docs, rows))
         joined = components(links)
     # names: the smallest id of each component
-    named = rows.where("node is not null and doc_id is not null").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "component").distinct().join(least, "component").select("node", "component_id")
-    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    low = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    named = low.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_node = lookup(named.select("node", "component"), "component", least).select("node", "component_id")
+    out = lookup(rows, "node", by_node)
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
