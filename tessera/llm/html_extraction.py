@@ -53,53 +53,105 @@ SKIP = frozenset("head nav menu footer aside form fieldset dialog".split())
 SKIP_WORDS = frozenset(
     "nav navbar navigation menu masthead footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup form login search share sharing social related recommended breadcrumb breadcrumbs pagination pager "
-    "comment comments commentlist discussion replies respond disqus copyright legal disclaimer toolbar skip".split()
+    "comment comments commentlist discussion replies respond disqus copyright legal disclaimer toolbar skip "
+    "site-nav main-nav main-menu site-navigation main-navigation nav-menu site-footer page-footer main-footer cookie-banner cookie-notice cookie-consent skip-link social-share share-buttons "
+    "related-posts related-articles comment-list comments-area comment-form search-form login-form".split()
 )
-HEADER_WORDS = frozenset("header topbar".split())
-CONTENT_WORDS = frozenset("article content main post entry story".split())
+HEADER_WORDS = frozenset("header topbar site-header page-header".split())
+CONTENT_WORDS = frozenset("article content main post entry story article-content article-body entry-content post-content post-body page-content main-content story-body".split())
+#: Elements that no naming word makes boilerplate; elements whose raw text ends only at their closing tag or the page's end.
+KEPT = frozenset("html body main article".split())
+SWALLOW = frozenset("script style textarea".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRS = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An open element: tag, path, whether it is boilerplate, and whether it is or lies in a content container."""
+    """An open element: tag, path, rank as a content container, and what calls it boilerplate: its tag, its names, or that it heads a page (1 by name, 2 by tag).
 
-    __slots__ = ("tag", "path", "skip", "inside")
+    ``_settle`` adds whether it is boilerplate, and whether it is or lies in a content container.
+    """
+
+    __slots__ = ("tag", "path", "up", "rank", "by_tag", "by_name", "head", "cut", "dark", "chars", "holds", "skip", "inside")
 
-    def __init__(self, tag: str, path: str, skip: bool, inside: int):
-        self.tag, self.path, self.skip, self.inside = tag, path, skip, inside
+    def __init__(self, tag: str, path: str, up: Node | None = None, rank: int = 0, by_tag: bool = False, by_name: bool = False, head: int = 0):
+        self.tag, self.path, self.up, self.rank, self.by_tag, self.by_name, self.head = tag, path, up, rank, by_tag, by_name, head
+        self.cut = self.dark = self.skip = False
+        self.chars = self.holds = self.inside = 0
 
 
 def _open(tag: str, rest: str, up: Node) -> Node:
-    words: set[str] = set()
-    label = tag
+    names: set[str] = set()
+    label, role = tag, ""
     if "=" in rest:
-        words = {w for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-        if words:
+        for m in _ATTRS.finditer(rest):
+            if (key := m[1].lower()) in ("class", "id", "role"):
+                value = (m[2] or m[3] or m[4] or "").lower()
+                names.update(value.split())
+                role = value if key == "role" else role
+        if words := {w for n in names for w in _WORDS.findall(n)}:
             label = tag + "." + ".".join(sorted(words))
-    rank = 3 if tag == "article" else 2 if tag == "main" or ("main" in words and "role" in rest) else 1 if words & CONTENT_WORDS and tag in ("div", "section", "td") else 0
-    skip = up.skip or tag in SKIP or bool(words & SKIP_WORDS) or (not up.inside and not rank and (tag == "header" or bool(words & HEADER_WORDS)))
-    return Node(tag, f"{up.path}/{label}", skip, max(up.inside, 0 if skip else rank))
+    rank = 3 if tag == "article" else 2 if tag == "main" or "main" in role.split() else 1 if names & CONTENT_WORDS and tag in ("div", "section", "td") else 0
+    named = names if tag not in KEPT else set()
+    head = 0 if rank else 2 if tag == "header" else 1 if named & HEADER_WORDS else 0
+    return Node(tag, f"{up.path}/{label}", up, rank, tag in SKIP, bool(named & SKIP_WORDS), head)
+
+
+def _settle(nodes: list[Node], texts: list[tuple[Node, int]]) -> None:
+    """Boilerplate and containers of a page, once all of it is known.  ``nodes`` has parents before children, the root first.
+
+    A name alone makes no boilerplate of an element that holds most of the text
+    outside boilerplate tags, nor of one that is or holds a better content
+    container than any outside named boilerplate.
+    """
+    for n in nodes[1:]:
+        n.cut = n.up.cut or n.by_tag or (n.head == 2 and not n.up.inside)
+        n.inside = max(n.up.inside, 0 if n.cut else n.rank)
+        n.by_name = n.by_name or (n.head == 1 and not n.up.inside)
+        n.dark = n.up.dark or n.cut or n.by_name
+    for n, size in texts:
+        if not n.cut:
+            n.chars += size
+    for n in reversed(nodes[1:]):
+        if n.chars and not n.cut:
+            n.holds = max(n.holds, n.rank)
+        n.up.chars += n.chars
+        n.up.holds = max(n.up.holds, n.holds)
+    total = nodes[0].chars
+    free = max((n.rank for n in nodes if n.chars and not n.dark), default=0)
+    for n in nodes[1:]:
+        n.skip = n.up.skip or n.cut or (n.by_name and 2 * n.chars <= total and n.holds <= free)
+        n.inside = max(n.up.inside, 0 if n.skip else n.rank)
+
+
+def _closings(html: str, tag: str) -> dict[int, int]:
+    """Where each opening of ``tag`` that is closed starts, and where its closing tag ends."""
+    found, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", html, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
 
 
 def parse(html: str) -> Iterator[tuple[str, str | None, Node]]:
     """Openings ``(path, None, element)`` and text blocks ``(path, text, element)`` in page order."""
-    root = Node("", "", False, 0)
+    root = Node("", "")
+    nodes, found = [root], []
     stack, text, at = [root], [], 0
-    raw: str | None = None
+    closings: dict[str, dict[int, int]] = {}
 
-    def block() -> str:
+    def block(here: Node) -> None:
         got = " ".join(unescape("".join(text)).split())
         text.clear()
-        return got
+        if got:
+            found.append((here.path, got, here))
 
     while True:
-        if raw is not None:
-            close = re.compile(rf"</{raw}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
-            raw = None
         m = _TOKEN.search(html, at)
         text.append(html[at : m.start() if m else len(html)])
         if not m:
@@ -110,7 +162,15 @@ def parse(html: str) -> Iterator[tuple[str, str | None, Node]]:
             continue
         here = stack[-1]
         if tag in RAW and not m[1]:
-            raw = tag if not m[3].endswith("/") else None
+            if m[3].endswith("/"):
+                continue
+            if tag in SWALLOW:
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                at = close.end() if close else len(html)
+            else:
+                if tag not in closings:
+                    closings[tag] = _closings(html, tag)
+                at = max(at, closings[tag].get(m.start(), at))
             continue
         if tag in INLINE:
             if m[1]:
@@ -118,19 +178,19 @@ def parse(html: str) -> Iterator[tuple[str, str | None, Node]]:
                     if stack[k].tag not in INLINE:
                         break
                     if stack[k].tag == tag:
-                        if stack[k].skip and not stack[k - 1].skip:
-                            text.clear()
+                        if stack[k].by_name or stack[k].head:
+                            block(here)
                         del stack[k:]
                         break
             elif "=" in m[3]:
                 inner = _open(tag, m[3], here)
-                if inner.skip and not here.skip:
-                    if got := block():
-                        yield here.path, got, here
-                stack.append(Node(tag, here.path, inner.skip, here.inside))
+                if inner.by_name or inner.head:
+                    block(here)
+                node = Node(tag, here.path, here, by_name=inner.by_name, head=inner.head)
+                nodes.append(node)
+                stack.append(node)
             continue
-        if got := block():
-            yield here.path, got, here
+        block(here)
         if tag in VOID:
             continue
         if m[1]:
@@ -142,10 +202,12 @@ def parse(html: str) -> Iterator[tuple[str, str | None, Node]]:
         while stack[-1].tag in INLINE or stack[-1].tag == "p" or stack[-1].tag == tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             stack.pop()
         node = _open(tag, m[3], stack[-1])
+        nodes.append(node)
         stack.append(node)
-        yield node.path, None, node
-    if got := block():
-        yield stack[-1].path, got, stack[-1]
+        found.append((node.path, None, node))
+    block(stack[-1])
+    _settle(nodes, [(n, len(t)) for _, t, n in found if t is not None])
+    yield from found
 
 
 def _text_key(path: str, text: str) -> str:

@@ -249,6 +249,32 @@ def test_template_by_statistics_without_named_container():
     assert html_extraction.main_text(page.format("long text"), box, []) == "long text"
 
 
+def test_a_naming_word_does_not_drop_the_main_text():
+    text = lambda html: html_extraction.main_text(html, None, None)
+    long = "The long main text of the page. " * 3
+    want = long.strip()
+    for page in (
+        f"<html class='nav'><body class='page with-sidebar'><p>{long}</body>",
+        f"<body class='sidebar notice'><p>{long}</body>",
+        f"<div id='page' class='has-banner'><p>{long}</div>",
+        f"<div class='widget'><div class='banner'><p>{long}</div></div><p>",
+        f"<article class='post no-comments'><p>{long}</article>",
+        f"<div class='promo'><article>{long}</article><div class='ad'>Buy</div></div>",
+        f"<main class='search'>{long}</main><div class='ad'>{long}{long}</div>",
+        f"<div data-id='search' data-role='nav' title=\"a class='footer'\"><p>{long}</div><p>",
+        f"<div class='topbar'><div class='content'>{long}</div></div>",
+        f"<p><span class='share'>{long}</span>",
+        *(f"<article><{tag} class='x'><p>{long}</article>" for tag in ("button", "select", "svg", "video", "object", "noscript")),
+        f"<article><button>{long}<button>Send</button></article>",
+        f"<article><svg><svg/><svg>a</svg>b</svg>{long}<script>var a = 1",
+    ):
+        assert text(page) == want, page
+    short = "<div class='{}'>Side</div>" + f"<p>{long}"
+    assert [text(short.format(c)) for c in ("sidebar", "x ad", "NAV")] == [want] * 3
+    assert text(f"<article>{long}<div class='comments'><article>Nice</article></div></article>") == want
+    assert text(f"<p>{long}<script>lost") == text(f"<p>{long}<textarea>lost<p>lost") == want
+
+
 # -- embeddings
 def test_embeddings_against_brute_force(spark):
     r = np.random.default_rng(3)
