@@ -5,17 +5,19 @@ the path of block elements around it (its role), or a whole text block at its
 path.  Tokens with the same occurrence vector over the host's pages form an
 equivalence class; vectors are compared by a commutative hash of (page, count),
 so classes come from one aggregation, whatever a host's size.  Classes that are
-large and frequent enough, whose members are nested in one another's paths, make
-up the host's template; text blocks in the class of all pages are template text.
+frequent and large enough, whose members are nested in one another's paths below
+one element, make up the host's template, and so do others that lie in elements
+of these on as many pages or more; all text blocks in them are template text.
 What remains are slots.  A slot is main text if it lies in the template's
 content container and in no menu, header, footer, sidebar, notice, advert, form
-or comment section.
+or comment section.  A page that has nothing but template text in its content
+is taken as a copy of others, and keeps it.
 
 A host's template is a short list of container paths and text hashes.  It is
 joined to the pages by host: by broadcast where its measured size allows, else
 by a salted shuffle that spreads a large host over many tasks.
 
-A null html is an empty page; a page without a host, or the only one of its host,
+A null html is an empty page, and empty pages count in no host; a page without a host, or the only one of its host,
 is read by its own structure.  Very long pages are handled whole.  Repeated
 rows are pages of their own; extra columns are ignored; an empty table gives an
 empty result.
@@ -38,8 +40,6 @@ from tessera.session import checkpoint
 
 #: Least pages and share of the host's pages that a class of the template covers, and least tokens in it.
 MIN_PAGES, MIN_SHARE, MIN_SIZE = 3, 0.5, 3
-#: A text block is template text if it stands on all pages of a host with at least so many.
-CONSTANT_PAGES = 10
 #: Templates are broadcast up to this many characters in all.
 BROADCAST_CHARS = 8 << 20
 SALTS = 32
@@ -220,29 +220,32 @@ def _signed(x: int) -> int:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, pages, chars): vectors added up within a task before the shuffle."""
+    """(host, token, path, vector, pages, chars, rank): vectors added up within a task before the shuffle; ``path`` is a text block's."""
 
     def run(batches: Batches) -> Batches:
-        found: dict[tuple[str, str], list[int]] = {}
+        found: dict[tuple[str, str], list] = {}
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*[(h, t, _signed(v), n, c, r) for (h, t), (v, n, c, r) in found.items()], strict=True))
+            cols = list(zip(*[(h, t, p, _signed(v), n, c, r) for (h, t), (v, n, c, r, p) in found.items()], strict=True))
             found.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "vector", "pages", "chars", "rank"]
+                [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "path", "vector", "pages", "chars", "rank"]
             )
 
         for b in batches:
             for host, page, html in zip(*(b.column(n).to_pylist() for n in ("host", "page", "html")), strict=True):
-                once: dict[str, list[int]] = {"": [1, 0, 0]}
+                once: dict[str, list] = {}
                 for path, text, node in parse(html or ""):
                     if text is None:
-                        once.setdefault(path, [0, 0, node.inside * 2 + node.skip])[0] += 1
+                        once.setdefault(path, [0, 0, node.inside * 2 + node.skip, None])[0] += 1
                     elif not node.skip:
-                        once.setdefault(path, [0, 0, node.inside * 2 + node.skip])[1] += len(text)
-                        once.setdefault(_text_key(path, text), [0, 0, node.inside * 2 + node.skip])[0] += 1
-                for token, (n, chars, rank) in once.items():
-                    mine = found.setdefault((host, token), [0, 0, 0, rank])
+                        once.setdefault(path, [0, 0, node.inside * 2 + node.skip, None])[1] += len(text)
+                        once.setdefault(_text_key(path, text), [0, 0, node.inside * 2 + node.skip, path])[0] += 1
+                if not once:
+                    continue
+                once.setdefault("", [0, 0, 0, None])[0] = 1
+                for token, (n, chars, rank, path) in once.items():
+                    mine = found.setdefault((host, token), [0, 0, 0, rank, path])
                     mine[0] += xxhash.xxh64_intdigest(str(page), seed=n)
                     mine[1] += 1
                     mine[2] += chars
@@ -251,11 +254,11 @@ def _tokens(pages: DataFrame) -> DataFrame:
         if found:
             yield flush()
 
-    schema = "host string, token string, vector long, pages long, chars long, rank long"
+    schema = "host string, token string, path string, vector long, pages long, chars long, rank long"
     made = pages.mapInArrow(run, schema)
     whole = F.expr("pmod(sum(cast(vector as decimal(38,0))), 18446744073709551616BD)")
     return made.groupBy("host", "token").agg(
-        whole.alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("rank").alias("rank")
+        whole.alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("rank").alias("rank"), F.first("path").alias("path")
     )
 
 
@@ -272,45 +275,83 @@ def _containers(rows: list[tuple[str, int, int, int]], n: int) -> list[str]:
     return [max(deep, key=lambda p: (p.count("/"), p))] if deep else []
 
 
+def _under(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
+def _template(rows: list[tuple[str, str, object, int]]) -> set[str]:
+    """Members of a host's valid classes, from its frequent tokens (token, path, vector, pages)."""
+    classes: dict[object, list[tuple[str, str, int]]] = {}
+    for token, path, vector, pages in rows:
+        classes.setdefault(vector, []).append((token, path, pages))
+
+    def up(path: str) -> str:
+        return path.rpartition("/")[0]
+
+    def nested(members: list[tuple[str, str, int]]) -> bool:
+        """Whether the members that lie in no other member lie in one element."""
+        own = {p for t, p, _ in members if t == p}
+        slots = set()
+        for token, path, _ in members:
+            at = top = up(path) if token == path else path
+            while at and at not in own:
+                at = up(at)
+            if at not in own or token == "":
+                slots.add(top)
+        return len(slots) <= 1
+
+    valid = {v for v, m in classes.items() if len(m) >= MIN_SIZE and nested(m)}
+    # elements of these, and on how many pages each stands: in them, on no more pages, lie the smaller classes
+    held = {p: n for v in valid for t, p, n in classes[v] if t == p}
+
+    def inside(path: str, pages: int) -> bool:
+        while path and held.get(path, 0) < pages:
+            path = up(path)
+        return held.get(path, 0) >= pages
+
+    valid |= {v for v, m in classes.items() if all(inside(p if t != p else up(p), n) for t, p, n in m)}
+    return {t for v in valid for t, *_ in classes[v]}
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, containers, constants) of every host with enough pages, from ``pages(host, page, html)``."""
     tokens = checkpoint(_tokens(pages))
-    hosts = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("every"))
+    hosts = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"))
     frequent = tokens.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("all_pages") * MIN_SHARE))
-    # a class: tokens of a host with one vector; its size decides, text in it only in the class of all pages
-    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"))
-    member = frequent.join(classes, ["host", "vector"]).where((F.col("size") >= MIN_SIZE) | (F.col("rank") > 1))
-    text = F.col("token").startswith("#")
-    kept = member.where(~text | ((F.col("vector") == F.col("every")) & (F.col("pages") == F.col("all_pages")) & (F.col("all_pages") >= CONSTANT_PAGES)))
 
+    # a token on half of a host's pages or more: all of them are at most as many as two of its pages have
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         r = rows.to_pylist()
-        roles = [(x["token"], x["pages"], x["chars"], x["rank"]) for x in r if x["token"][:1] != "#"]
+        members = _template([(x["token"], x["token"] if x["path"] is None else x["path"], x["vector"], x["pages"]) for x in r])
+        roles = [(x["token"], x["pages"], x["chars"], x["rank"]) for x in r if x["path"] is None and (x["token"] in members or x["rank"] > 1)]
         return pa.table(
             {
                 "host": pa.array([key[0].as_py()], pa.string()),
                 "containers": pa.array([_containers(roles, r[0]["all_pages"])], pa.list_(pa.string())),
-                "constants": pa.array([sorted(x["token"] for x in r if x["token"][:1] == "#")], pa.list_(pa.string())),
+                "constants": pa.array([sorted(x["token"] for x in r if x["path"] is not None and x["token"] in members)], pa.list_(pa.string())),
             }
         )
 
-    return kept.select("host", "token", "pages", "chars", "rank", "all_pages").groupBy("host").applyInArrow(build, "host string, containers array<string>, constants array<string>")
+    return frequent.select("host", "token", "path", "vector", "pages", "chars", "rank", "all_pages").groupBy("host").applyInArrow(build, "host string, containers array<string>, constants array<string>")
 
 
 def main_text(html: str, containers: list[str] | None, constants: list[str] | None) -> str:
     """Slots of the content container, joined by one space.
 
-    A page that lacks its host's container falls back to its own: article
-    elements, then main, then containers by name, then the whole body.
+    A page that lacks its host's container, or has more text in its own named
+    containers outside, falls back to its own: article elements, then main, then
+    containers by name, then the whole body.
     """
     fixed = frozenset(constants or ())
     blocks = [(p, t, n.inside) for p, t, n in parse(html) if t is not None and not n.skip]
     top = max((r for *_, r in blocks), default=0)
-    named = [t for p, t, r in blocks if r == top and _text_key(p, t) not in fixed] if fixed else [t for _, t, r in blocks if r == top]
-    if top or not containers:
-        return " ".join(named)
-    own = [t for p, t, _ in blocks if any(p == c or p.startswith(c + "/") for c in containers) and _text_key(p, t) not in fixed]
-    return " ".join(own or named)
+    named = [(p, t) for p, t, r in blocks if r == top]
+    content = [(p, t) for p, t, _ in blocks if any(_under(p, c) for c in containers or ())]
+    taken = set(content)
+    if not content or (top and sum(len(x[1]) for x in named if x not in taken) > sum(len(t) for _, t in content)):
+        content = named
+    slots = [t for p, t in content if _text_key(p, t) not in fixed] if fixed else []
+    return " ".join(slots or [t for _, t in content])
 
 
 _ARROW = arrow_schema(page_id=pa.int64(), url=pa.string(), text=pa.string(), n_chars=pa.int64())

@@ -249,6 +249,35 @@ def test_template_by_statistics_without_named_container():
     assert html_extraction.main_text(page.format("long text"), box, []) == "long text"
 
 
+def test_template_text_of_nested_classes(spark):
+    page = "<html><body><div class='top'>Site</div><article><h1>Title {i}</h1><p>Own words {i}<p>More {i}{notice}</article></body></html>"
+    noted = lambda i: page.format(i=i, notice="<p>Members read on")
+    rows = [(i, f"http://small.org/{i}", noted(i)) for i in range(4)]
+    rows += [(10 + i, f"http://holes.org/{i}", noted(10 + i)) for i in range(8)]
+    rows += [(20, "http://holes.org/a", page.format(i=20, notice="")), (21, "http://holes.org/b", "<p>Not found"), *((k, f"http://holes.org/{k}", "" if k % 2 else None) for k in range(22, 34))]
+    rows += [(40 + i, f"http://copies.org/{i}", noted(40)) for i in range(4)]
+    rows += [(50 + i, f"http://two.org/{i}", noted(50 + i)) for i in range(2)]
+    rows += [(60 + i, f"http://few.org/{i}", noted(60 + i) if i < 3 else page.format(i=60 + i, notice="")) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"Title {i} Own words {i} More {i}"
+    assert [got[i] for i in (*range(4), *range(10, 18), 20)] == [own(i) for i in (*range(4), *range(10, 18), 20)]
+    assert got[21] == "Not found" and {got[k] for k in range(22, 34)} == {""}
+    # copies keep what they say; too few pages, or too small a share of them, make no template
+    assert [got[i] for i in (40, 43, 50, 60, 65)] == [own(40) + " Members read on"] * 2 + [own(50) + " Members read on", own(60) + " Members read on", own(65)]
+
+
+def test_classes_are_nested():
+    rows = [("/b", "/b", 1, 9), ("/b/x", "/b/x", 1, 9), ("/b/y", "/b/y", 1, 9), ("#in", "/b/x/p", 2, 7), ("#out", "/c/p", 3, 8), ("#1", "/c/d", 4, 6), ("#2", "/e/f", 4, 6), ("#3", "/e/g", 4, 6)]
+    assert html_extraction._template(rows) == {"/b", "/b/x", "/b/y", "#in"}
+    assert html_extraction._template([(t, "/e", v, n) if v == 4 else (t, p, v, n) for t, p, v, n in rows]) == {"/b", "/b/x", "/b/y", "#in", "#1", "#2", "#3"}
+
+
+def test_the_template_container_goes_before_names():
+    page = "<body><div class='x2'><p>Long text of the page</p></div><div class='content'>Stray</div></body>"
+    assert html_extraction.main_text(page, ["/body/div.x2"], []) == "Long text of the page"
+    assert html_extraction.main_text(page, ["/body/div.x9"], []) == "Stray"
+
+
 def test_a_naming_word_does_not_drop_the_main_text():
     text = lambda html: html_extraction.main_text(html, None, None)
     long = "The long main text of the page. " * 3
