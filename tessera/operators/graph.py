@@ -12,7 +12,6 @@ from tessera.session import checkpoint
 
 #: Template extensions in order of precedence.
 EXTENSIONS = (".html.erb", named(".html.{word}"), ".turbo_stream.erb", ".erb", named(".{word}"), ".rhtml", ".html")
-MAX_ROUNDS = 64
 MAX_CHAINS = 32
 
 
@@ -98,7 +97,7 @@ def reachable(t: Tables, root: str = "app/views", expand_prefixes: bool = True,
     by_prefix = folders.join(dynamic_prefixes(t), "prefix", "left_semi").select("doc_id").distinct()
     seen = checkpoint((start.unionByName(by_prefix) if expand_prefixes else start).distinct())
     frontier = seen
-    for _ in range(MAX_ROUNDS):
+    while True:
         frontier = checkpoint(frontier.join(e, F.col("doc_id") == F.col("caller")).select(F.col("callee").alias("doc_id")).distinct().join(seen, "doc_id", "left_anti"))
         if frontier.isEmpty():
             break
@@ -110,27 +109,58 @@ def unused_partials(t: Tables, root: str = "app/views", **options) -> DataFrame:
     return partial_index(t.docs, root).join(reachable(t, root, **options), "doc_id", "left_anti")
 
 
-def contexts(t: Tables, root: str = "app/views") -> DataFrame:
-    """(doc_id, chain): the tag stacks around a partial over its callers, at most 32 for each (a feature of the report)."""
+def _sites(t: Tables, root: str) -> DataFrame:
+    """(caller, callee, around): which partial is rendered where, and the tags around the call, each once."""
     index = partial_index(t.docs, root).select("name", F.col("doc_id").alias("callee"))
-    site = checkpoint(calls(t, root).join(index, "name").select(F.col("doc_id").alias("caller"), "callee", F.col("ancestors").alias("around")).distinct())
-    known = checkpoint(t.docs.where(~is_partial(F.col("path"))).select("doc_id", F.expr("array()").cast("array<string>").alias("chain"), F.array("doc_id").alias("through")))
-    out, frontier = known, known
-    for _ in range(MAX_ROUNDS):
+    around = F.coalesce("ancestors", F.expr("array()").cast("array<string>"))
+    return calls(t, root).join(index, "name").select(F.col("doc_id").alias("caller"), "callee", around.alias("around")).distinct()
+
+
+def contexts(t: Tables, root: str = "app/views") -> DataFrame:
+    """(doc_id, chain, resolved): the tag stacks around a partial over its callers, at most 32 different ones for each (a feature of the report).
+
+    ``resolved`` is false where some were cut, at the partial or above it.  The
+    shortest way stands for all that give one stack; none enters a partial twice.
+    """
+    site = checkpoint(_sites(t, root))
+    frontier = checkpoint(t.docs.where(~is_partial(F.col("path"))).select("doc_id", F.expr("array()").cast("array<string>").alias("chain"), F.array("doc_id").alias("through")))
+    out = frontier.where("false")
+    cut = frontier.where("false").select("doc_id")
+    while True:
         step = frontier.join(site, F.col("doc_id") == F.col("caller")).where(~F.array_contains("through", F.col("callee")))
-        step = step.select(F.col("callee").alias("doc_id"), F.concat("chain", F.coalesce("around", F.expr("array()"))).alias("chain"), F.concat("through", F.array("callee")).alias("through"))
-        step = step.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chain", "through"))).where(F.col("n") <= MAX_CHAINS).drop("n")
-        frontier = checkpoint(step)
+        step = step.select(F.col("callee").alias("doc_id"), F.concat("chain", "around").alias("chain"), F.concat("through", F.array("callee")).alias("through"))
+        step = step.groupBy("doc_id", "chain").agg(F.min(F.struct(F.size("through"), "through")).alias("way")).select("doc_id", "chain", "way.through")
+        have = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"))
+        step = step.join(out.select("doc_id", "chain"), ["doc_id", "chain"], "left_anti").join(have, "doc_id", "left")
+        step = checkpoint(step.withColumn("n", F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("chain"))))
+        frontier = step.where(F.col("n") <= MAX_CHAINS).select("doc_id", "chain", "through")
+        cut = checkpoint(cut.unionByName(step.where(F.col("n") > MAX_CHAINS).select("doc_id")).distinct())
         if frontier.isEmpty():
             break
         out = checkpoint(out.unionByName(frontier))
-    return out.where(F.size("through") > 1).select("doc_id", "chain").distinct()
+    below = frontier = cut
+    while not frontier.isEmpty():
+        step = frontier.join(site, F.col("doc_id") == F.col("caller")).select(F.col("callee").alias("doc_id")).distinct()
+        frontier = checkpoint(step.join(below, "doc_id", "left_anti"))
+        below = checkpoint(below.unionByName(frontier))
+    return out.select("doc_id", "chain").join(below.withColumn("lost", F.lit(True)), "doc_id", "left").select("doc_id", "chain", F.col("lost").isNull().alias("resolved"))
 
 
 def ancestor_verdict(t: Tables, tag: str, root: str = "app/views") -> DataFrame:
-    """(doc_id, verdict): whether callers render a partial inside ``tag``: always, never, mixed."""
-    inside = F.array_contains("chain", tag)
-    return contexts(t, root).groupBy("doc_id").agg(F.when(F.bool_and(inside), "always").when(F.bool_or(inside), "mixed").otherwise("never").alias("verdict"))
+    """(doc_id, verdict): whether callers render a partial inside ``tag``: always, never, mixed.
+
+    All callers count: a fixpoint over (partial, inside or not), two rows for each at most.
+    """
+    site = checkpoint(_sites(t, root).select("caller", "callee", F.array_contains("around", tag).alias("within")).distinct())
+    frontier = checkpoint(t.docs.where(~is_partial(F.col("path"))).select("doc_id", F.lit(False).alias("inside")))
+    seen = frontier.where("false")
+    while True:
+        step = frontier.join(site, F.col("doc_id") == F.col("caller")).select(F.col("callee").alias("doc_id"), (F.col("inside") | F.col("within")).alias("inside")).distinct()
+        frontier = checkpoint(step.join(seen, ["doc_id", "inside"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = checkpoint(seen.unionByName(frontier))
+    return seen.groupBy("doc_id").agg(F.when(F.bool_and("inside"), "always").when(F.bool_or("inside"), "mixed").otherwise("never").alias("verdict"))
 
 
 def inferred_signature(t: Tables, root: str = "app/views") -> DataFrame:
@@ -159,7 +189,7 @@ def state_flow(t: Tables, variable: str, root: str = "app/views") -> DataFrame:
     passed = checkpoint(passed.withColumn("root", F.regexp_extract("value", r"^(@?\w+)", 1)).distinct())
     seen = checkpoint(erb.instance_variables(t).where(F.col("name") == variable).select("doc_id", "name").distinct())
     frontier = seen
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = frontier.join(passed, (F.col("doc_id") == F.col("caller")) & (F.col("name") == F.col("root"))).select(F.col("callee").alias("doc_id"), F.col("local").alias("name")).distinct()
         frontier = checkpoint(step.join(seen, ["doc_id", "name"], "left_anti"))
         if frontier.isEmpty():
@@ -173,7 +203,7 @@ def traces(t: Tables, root: str = "app/views") -> DataFrame:
     e = checkpoint(edges(t, root))
     frontier = checkpoint(t.docs.where(~is_partial(F.col("path"))).select("doc_id", F.array("doc_id").alias("through")))
     out = frontier
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = frontier.join(e, F.col("doc_id") == F.col("caller")).where(~F.array_contains("through", F.col("callee"))).select(F.col("callee").alias("doc_id"), F.concat("through", F.array("callee")).alias("through"))
         frontier = checkpoint(step)
         if frontier.isEmpty():

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 
 from tessera.lint import engine as lint
+from tessera.operators import graph
 from tessera.operators.diff import diff, diff_pairs, summary
 from tessera.operators.extract import html_of, ruby_of
 from tessera.operators.lexer import lex
@@ -132,3 +133,25 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("<p>é</p>\n")
     assert sorted((r.path, r.source) for r in templates(spark, str(tmp_path)).collect()) == [("app/views/a.html.erb", "<p>é</p>\n"), ("app/views/x/_b.html.erb", "<p>é</p>\n")]
+
+
+def test_verdicts_count_all_callers(spark):
+    docs = [(k, f"app/views/a/{k:03}.html.erb", '<ul><%= render "a/hot" %></ul>\n') for k in range(40)]
+    docs += [(40, "app/views/z/last.html.erb", '<p><%= render "a/hot" %></p>\n'), (50, "app/views/a/_hot.html.erb", '<%= render "a/below" %>\n'), (51, "app/views/a/_below.html.erb", "<i>x</i>\n")]
+    t = Tables(spark.createDataFrame(docs, "doc_id long, path string, source string"))
+    assert {r.doc_id: r.verdict for r in graph.ancestor_verdict(t, "ul").collect()} == {50: "mixed", 51: "mixed"}
+    assert {(r.doc_id, tuple(r.chain), r.resolved) for r in graph.contexts(t).collect()} == {(d, (c,), True) for d in (50, 51) for c in ("ul", "p")}
+    many = [(k, f"app/views/m/{k}.html.erb", "".join(f"<x-{'abcdefghij'[int(c)]}>" for c in f"{k:02}") + '<%= render "m/hot" %>' + "".join(f"</x-{'abcdefghij'[int(c)]}>" for c in f"{k:02}"[::-1]) + "\n") for k in range(40)]
+    many += [(50, "app/views/m/_hot.html.erb", '<%= render "m/below" %>\n'), (51, "app/views/m/_below.html.erb", "<i>x</i>\n")]
+    t = Tables(spark.createDataFrame(many, "doc_id long, path string, source string"))
+    got = graph.contexts(t).collect()
+    assert len(got) == 64 and not any(r.resolved for r in got)
+    assert {r.doc_id: r.verdict for r in graph.ancestor_verdict(t, "x-a").collect()} == {50: "mixed", 51: "mixed"}
+
+
+def test_fixpoints_go_as_deep_as_calls(spark):
+    deep = 67
+    docs = [(0, "app/views/d/top.html.erb", '<%= render "d/p1", v: @v %>\n')]
+    docs += [(k, f"app/views/d/_p{k}.html.erb", f'<%= render "d/p{k + 1}", v: v %>\n' if k < deep else "<i>x</i>\n") for k in range(1, deep + 1)]
+    t = Tables(spark.createDataFrame(docs, "doc_id long, path string, source string"))
+    assert graph.ancestor_verdict(t, "ul").where("verdict = 'never'").count() == deep
