@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.parser import Item, Options, Parser
+from tessera.session import checkpoint
 
 LCS_LIMIT = 256
+#: Entries of a path; operations deeper down have the path of the element at that depth.
 MAX_DEPTH = 64
+#: Ids of pairs that differ without an operation are broadcast up to this many.
+BROADCAST_PAIRS = 1_000_000
 SCHEMA = "pair_id long, op_index int, type string, path string, old_index int, new_index int, old_value string, new_value string"
 
 
@@ -101,7 +105,7 @@ def diff(old: str | None, new: str | None) -> list[tuple[str, list[int], int | N
     work: list[tuple[Item, Item, list[int]]] = [(a, b, [])]
     while work:
         x, y, path = work.pop()
-        if h(x) == h(y) or len(path) > MAX_DEPTH:
+        if h(x) == h(y):
             continue
         if x.kind != y.kind:
             ops.append(("node_replaced", path, None, None, x.kind, y.kind))
@@ -126,12 +130,16 @@ def diff(old: str | None, new: str | None) -> list[tuple[str, list[int], int | N
     return ops
 
 
+def _down(path: list[int], k: int) -> list[int]:
+    return [*path, k] if len(path) < MAX_DEPTH else path
+
+
 def _children(x: Item, y: Item, path: list[int], h: Hashes, work: list) -> list[tuple]:
     old, new = kids(x), kids(y)
     pairs = _common(old, new, h)
     kept_old, kept_new = {i for i, _ in pairs}, {j for _, j in pairs}
     for i, j in pairs:
-        work.append((old[i], new[j], [*path, j]))
+        work.append((old[i], new[j], _down(path, j)))
     gone = [i for i in range(len(old)) if i not in kept_old]
     come = [j for j in range(len(new)) if j not in kept_new]
     ops: list[tuple] = []
@@ -143,22 +151,22 @@ def _children(x: Item, y: Item, path: list[int], h: Hashes, work: list) -> list[
                 gone.remove(i)
                 come.remove(j)
                 if h(old[i]) == h(new[j]) or sum(k < i for k in kept_old) != sum(k < j for k in kept_new):
-                    ops.append(("node_moved", [*path, j], i, j, None, None))
-                work.append((old[i], new[j], [*path, j]))
+                    ops.append(("node_moved", _down(path, j), i, j, None, None))
+                work.append((old[i], new[j], _down(path, j)))
     for j in list(come):
         i = next((i for i in gone if _inside(old[i], new[j], h)), None)
         if i is not None:
             gone.remove(i)
             come.remove(j)
-            ops.append(("node_wrapped", [*path, j], i, j, None, new[j].tag))
+            ops.append(("node_wrapped", _down(path, j), i, j, None, new[j].tag))
     for i in list(gone):
         j = next((j for j in come if _inside(new[j], old[i], h)), None)
         if j is not None:
             gone.remove(i)
             come.remove(j)
-            ops.append(("node_unwrapped", [*path, j], i, j, old[i].tag, None))
-    ops += [("node_removed", [*path, i], i, None, old[i].kind, None) for i in gone]
-    ops += [("node_inserted", [*path, j], None, j, None, new[j].kind) for j in come]
+            ops.append(("node_unwrapped", _down(path, j), i, j, old[i].tag, None))
+    ops += [("node_removed", _down(path, i), i, None, old[i].kind, None) for i in gone]
+    ops += [("node_inserted", _down(path, j), None, j, None, new[j].kind) for j in come]
     return ops
 
 
@@ -187,9 +195,27 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair_id", "old", "new").mapInArrow(run, SCHEMA)
 
 
+def identical(old: str | None, new: str | None) -> bool:
+    """Whether the trees have one root hash.  Some differences, as of quotes or of a tag's case, are no operation."""
+    h, a, b = Hashes(), tree_of(old), tree_of(new)
+    return h(a) == h(b)
+
+
 def summary(pairs: DataFrame, ops: DataFrame) -> DataFrame:
-    """(pair_id, operations, identical, patchable): patchable if all operations change texts or attributes."""
-    per = ops.groupBy("pair_id").agg(F.count(F.lit(1)).alias("operations"), F.bool_and(F.col("type").rlike("^(text|attribute)_")).alias("patchable"))
-    return pairs.select("pair_id").join(per, "pair_id", "left").select(
-        "pair_id", F.coalesce("operations", F.lit(0)).alias("operations"), F.col("operations").isNull().alias("identical"), F.coalesce("patchable", F.lit(True)).alias("patchable")
+    """(pair_id, operations, identical, patchable): patchable if the trees are identical, or if operations tell how they differ and all change texts or attributes."""
+    per = checkpoint(ops.groupBy("pair_id").agg(F.count(F.lit(1)).alias("operations"), F.bool_and(F.col("type").rlike("^(text|attribute)_")).alias("patchable")))
+    # unequal sources without an operation: few, so their ids go to the pairs
+    silent = checkpoint(pairs.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair_id").join(per, "pair_id", "left_anti").distinct())
+
+    def run(batches):
+        for b in batches:
+            ids = [k for k, old, new in zip(*(b.column(n).to_pylist() for n in ("pair_id", "old", "new")), strict=True) if not identical(old, new)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["pair_id"])
+
+    quiet = pairs.select("pair_id", "old", "new").where(~F.col("old").eqNullSafe(F.col("new")))
+    quiet = quiet.join(F.broadcast(silent) if silent.count() <= BROADCAST_PAIRS else silent, "pair_id", "left_semi")
+    unequal = quiet.mapInArrow(run, "pair_id long").distinct().withColumn("unequal", F.lit(True))
+    same = F.col("operations").isNull() & F.col("unequal").isNull()
+    return pairs.select("pair_id").join(per, "pair_id", "left").join(unequal, "pair_id", "left").select(
+        "pair_id", F.coalesce("operations", F.lit(0)).alias("operations"), same.alias("identical"), F.coalesce("patchable", same).alias("patchable")
     )

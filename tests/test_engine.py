@@ -100,6 +100,17 @@ def test_diff_pairs(spark):
     assert got == {1: (1, False, True), 2: (0, True, True), 3: (0, True, True), 4: (1, False, False)}
 
 
+def test_diff_below_the_longest_path(spark):
+    deep = lambda x, n=80: "<div>" * n + x + "</div>" * n
+    (kind, path, *_, old, new), = diff(deep("<p>a</p>"), deep("<p>b</p>"))
+    assert (kind, len(path), old, new) == ("text_changed", 64, "a", "b")
+    assert [o[0] for o in diff(deep("<p>a</p>"), deep("<p>a</p><hr>"))] == ["node_inserted"]
+    rows = [(1, deep("a"), deep("b")), (2, deep("a"), deep("<hr>a")), (3, "<p a='1'>a</p>", '<p a="1">a</p>'), (4, None, ""), (6, "<P>a</P>", "<p>a</p>"), (5, deep("a"), deep("a"))]
+    pairs = spark.createDataFrame(rows, "pair_id long, old string, new string")
+    got = {r.pair_id: (r.operations, r.identical, r.patchable) for r in summary(pairs, diff_pairs(pairs)).collect()}
+    assert got == {1: (1, False, True), 2: (1, False, False), 3: (0, False, False), 6: (0, False, False), 4: (0, True, True), 5: (0, True, True)}
+
+
 def test_lint_gate_and_suppression(spark):
     docs = [(1, "<img src='a'>\n"), (2, "<div><img src='a'>\n"), (3, "<img src='a'> <%# tpl:disable html-img-require-alt %>\n"), (4, "<%# tpl:linter ignore %>\n<img src='a'>\n"), (5, None), (6, "")]
     t = Tables(spark.createDataFrame(docs, "doc_id long, source string"))
