@@ -157,12 +157,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _dealt(benchmark: DataFrame, limit: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Items in groups of about ``limit`` words.  A test set is bounded; each group is one automaton."""
+    """Items in groups of about ``limit`` words, without those that have no words.  A test set is bounded; each group is one automaton."""
     groups: list[list[tuple[int, list[bytes]]]] = []
-    total = limit
+    total = 0
     for r in columns(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates().toLocalIterator():
         seq = words(r["text"].encode())
-        if total + len(seq) > limit and (total or not groups):
+        if not seq:
+            continue
+        if not groups or total + len(seq) > limit:
             groups.append([])
             total = 0
         groups[-1].append((r["item_id"], seq))

@@ -70,6 +70,13 @@ def test_decontamination_report(spark, docs):
     assert decontamination.clean(docs, items).columns == docs.columns
 
 
+@pytest.mark.parametrize("item", ["", "!!!"])
+def test_decontamination_with_wordless_items_only(spark, docs, item):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontamination.report(docs, items).where("n_hit = 0 and n_items = 0 and not contaminated").count() == len(ROWS)
+    assert decontamination.clean(docs, items).count() == len(ROWS)
+
+
 # -- sharding
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 100, 1000):
