@@ -205,27 +205,51 @@ def pipeline(c: Column, *changes: Callable[[str], str]) -> Column:
     return rewritten(c, every)
 
 
-def inline_partials(t: Tables, root: str = "app/views", depth: int = 8) -> DataFrame:
-    """``(doc_id, path, source)`` with static renders that pass no locals replaced by the partial's source, level by level."""
-    docs = t.docs
-    for _ in range(depth):
-        now = Tables(docs)
-        index = graph.partial_index(now.docs, root).select("name", F.col("doc_id").alias("callee"))
-        bodies = now.docs.select(F.col("doc_id").alias("callee"), F.col("source").alias("body"))
-        site = graph.calls(now, root).where("size(locals) = 0 and opening = '<%=' and collection_option is null and object_option is null").join(index, "name").where("callee <> doc_id")
-        per = site.select("doc_id", "partial", "callee").distinct().join(bodies, "callee").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("partial", "body"))).alias("bodies"))
-        if per.isEmpty():
+def _cycles(edge: DataFrame) -> DataFrame:
+    """The edges (doc_id, callee) whose callee leads back to the caller."""
+    core, count = edge, edge.count()
+    while True:
+        # what lies on a cycle is a caller and a callee
+        core = graph.checkpoint(core.join(core.select(F.col("callee").alias("doc_id")).distinct(), "doc_id", "left_semi").join(core.select(F.col("doc_id").alias("callee")).distinct(), "callee", "left_semi").select("doc_id", "callee"))
+        if (now := core.count()) == count or not now:
             break
+        count = now
+    reach = frontier = core
+    step = core.select(F.col("doc_id").alias("callee"), F.col("callee").alias("next"))
+    while not frontier.isEmpty():
+        further = frontier.join(step, "callee").select("doc_id", F.col("next").alias("callee")).distinct()
+        frontier = graph.checkpoint(further.join(reach, ["doc_id", "callee"], "left_anti"))
+        reach = graph.checkpoint(reach.unionByName(frontier))
+    return core.join(reach.select(F.col("callee").alias("doc_id"), F.col("doc_id").alias("callee")), ["doc_id", "callee"], "left_semi")
+
+
+def inline_partials(t: Tables, root: str = "app/views") -> DataFrame:
+    """``(doc_id, path, source)`` of all documents, with static renders that pass no locals replaced by the partial's source, its own renders replaced before.
+
+    A render stays where the partial leads back to the one that renders it.
+    """
+    docs = t.docs.select("doc_id", "path", "source")
+    index = graph.partial_index(t.docs, root).select("name", F.col("doc_id").alias("callee"))
+    site = graph.calls(t, root).where("size(locals) = 0 and opening = '<%=' and collection_option is null and object_option is null").join(index, "name")
+    site = graph.checkpoint(site.select("doc_id", "partial", "callee").distinct())
+    pending = graph.checkpoint(site.join(_cycles(site.select("doc_id", "callee").distinct()), ["doc_id", "callee"], "left_anti"))
+    out = docs.join(pending.select("doc_id").distinct(), "doc_id", "left_anti")
 
-        @pandas_udf("string")
-        def put(source: pd.Series, entries: pd.Series) -> pd.Series:
-            def one(s, have):
-                have = dict(have or {})
-                pattern = re.compile(r"\s*render\s*\(?\s*(?:partial:\s*)?[\"']([a-z0-9_/]+)[\"']\s*\)?\s*\Z")
-                return _each_tag(s, lambda o, c, e: have.get(m[1], None) if o == "<%=" and (m := pattern.match(c)) else None)
-
-            return pd.Series([one(s, h) for s, h in zip(source, entries, strict=True)])
-
-        changed = now.docs.join(per, "doc_id", "left").select("doc_id", "path", F.when(F.col("bodies").isNull(), F.col("source")).otherwise(put("source", "bodies")).alias("source"))
-        docs = graph.checkpoint(changed)
-    return docs
+    @pandas_udf("string")
+    def put(source: pd.Series, entries: pd.Series) -> pd.Series:
+        pattern = re.compile(r"\s*render\s*\(?\s*(?:partial:\s*)?[\"']([a-z0-9_/]+)[\"']\s*\)?\s*\Z")
+
+        def one(s, have):
+            have = dict(have or {})
+            return _each_tag(s, lambda o, c, e: have.get(m[1], None) if o == "<%=" and (m := pattern.match(c)) else None)
+
+        return pd.Series([one(s, h) for s, h in zip(source, entries, strict=True)])
+
+    # a document's turn comes once all that it renders has had its own
+    while not pending.isEmpty():
+        waits = pending.join(pending.select(F.col("doc_id").alias("callee")).distinct(), "callee", "left_semi").select("doc_id").distinct()
+        ready = pending.join(waits, "doc_id", "left_anti")
+        per = ready.join(out.select(F.col("doc_id").alias("callee"), F.col("source").alias("body")), "callee").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("partial", "body"))).alias("bodies"))
+        out = graph.checkpoint(out.unionByName(docs.join(per, "doc_id").select("doc_id", "path", put("source", "bodies").alias("source"))))
+        pending = graph.checkpoint(pending.join(waits, "doc_id", "left_semi"))
+    return out

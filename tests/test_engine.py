@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 
 from tessera.lint import engine as lint
-from tessera.operators import graph
+from tessera.operators import graph, rewrite
 from tessera.operators.diff import diff, diff_pairs, summary
 from tessera.operators.extract import html_of, ruby_of
 from tessera.operators.lexer import lex
@@ -166,3 +166,17 @@ def test_fixpoints_go_as_deep_as_calls(spark):
     docs += [(k, f"app/views/d/_p{k}.html.erb", f'<%= render "d/p{k + 1}", v: v %>\n' if k < deep else "<i>x</i>\n") for k in range(1, deep + 1)]
     t = Tables(spark.createDataFrame(docs, "doc_id long, path string, source string"))
     assert graph.ancestor_verdict(t, "ul").where("verdict = 'never'").count() == deep
+
+
+def test_inlining_reaches_all_levels_and_ends_at_cycles(spark):
+    body = lambda k: f'{k}<%= render "d/p{k + 1}" %>' if k < 12 else "end"
+    docs = [(k, f"app/views/d/_p{k}.html.erb", body(k)) for k in range(1, 13)]
+    docs += [(0, "app/views/d/top.html.erb", '<p><%= render "d/p1" %></p>'), (20, "app/views/x/_a.html.erb", 'a<%= render "b" %>'), (21, "app/views/x/_b.html.erb", "bee"), (22, "app/views/y/c.html.erb", '<%= render "x/a" %>')]
+    docs += [(30, "app/views/l/_one.html.erb", '1<%= render "l/two" %>'), (31, "app/views/l/_two.html.erb", '2<%= render "l/one" %>'), (32, "app/views/l/top.html.erb", '<%= render "l/one" %><%= render "d/p12" %>')]
+    docs += [(33, "app/views/l/_me.html.erb", 'm<%= render "l/me" %>'), (34, "app/views/l/you.html.erb", '<%= render "l/me" %>'), (40, "app/views/k/a.html.erb", '<%= render "d/p12", x: 1 %><%= render "no/#{kind}" %>'), (41, "app/views/k/b.html.erb", None)]
+    got = {r.doc_id: r.source for r in rewrite.inline_partials(Tables(spark.createDataFrame(docs, "doc_id long, path string, source string"))).collect()}
+    assert len(got) == len(docs)
+    assert got[0] == "<p>" + "".join(map(str, range(1, 12))) + "end</p>" and got[11] == "11end"
+    assert (got[20], got[22]) == ("abee", "abee")
+    assert got[30] == docs[16][2] and got[32] == '1<%= render "l/two" %>end' and got[33] == got[34] == 'm<%= render "l/me" %>'
+    assert got[40] == docs[-2][2] and got[41] is None
