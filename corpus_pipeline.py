@@ -24,10 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows equal in id and text, one.  Rows without an id stay."""
-    docs = docs.select(*NAMES)
-    groups = ngram_join.link(docs).where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_anti").withColumn("same", F.xxhash64("text"))
+    """Of each group of linked rows the one with the smallest id, and of its texts the one of least hash, stays; of rows equal in id and text, one.  Rows without an id stay."""
+    docs = docs.select(*NAMES).withColumn("same", F.xxhash64("text"))
+    copies = ngram_join.grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "same")).where("doc_id != first.doc_id or same != first.same").select("doc_id", "same").distinct()
+    kept = docs.join(copies, ["doc_id", "same"], "left_anti")
     unnamed = kept.where("doc_id is null").select(*NAMES)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "same"]).select(*NAMES).unionByName(unnamed)
 

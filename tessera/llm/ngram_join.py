@@ -135,17 +135,19 @@ def _postings(docs: DataFrame, counts: Broadcast) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node) of every row, and what it has besides its text."""
+    also = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             sets = [shingle_set(t) for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(b.column(n) for n in names)],
+                names=["doc_id", "n_shingles", "node", *names],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    names = [f.name for f in also]
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, node long", *(f"{f.name} {f.dataType.simpleString()}" for f in also)]))
 
 
 #: Two entries of a list can belong to a link only if, from their ranks on, enough shingles are left on either side.
@@ -211,9 +213,18 @@ def _pair(x: str, y: str) -> list[F.Column]:
 
 def link(docs: DataFrame) -> DataFrame:
     """Contract rows: doc_id, n_shingles, component_id."""
-    docs = columns(docs, "doc_id", "text")
+    return grouped(columns(docs, "doc_id", "text")).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and ``first`` of every row of ``docs(doc_id, text, ...)``, with its further columns.
+
+    ``first`` is the least (doc_id, further columns) of the row's component,
+    null without an id or shingles: it tells rows apart where ids repeat.
+    """
+    also = [n for n in docs.columns if n not in ("doc_id", "text")]
     rows = checkpoint(_rows(docs))
-    docs = docs.where("doc_id is not null")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     counts = _counts(docs)
     # put each list together; lists with one set end here, and so do further copies of a list's first set
     order = Window.partitionBy("shingle").orderBy(F.expr("(at & 4294967295L) / (at >> 32)"), "node")
@@ -242,9 +253,9 @@ def link(docs: DataFrame) -> DataFrame:
         links = links.unionByName(verified(more, docs, rows))
         joined = components(links)
     # names: the smallest id of each component
-    low = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    low = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", *also)).alias("low"))
     named = low.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_node = lookup(named.select("node", "component"), "component", least).select("node", "component_id")
+    least = named.groupBy("component").agg(F.min("low").alias("first"))
+    by_node = lookup(named.select("node", "component"), "component", least).select("node", "first")
     out = lookup(rows, "node", by_node)
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("first")).alias("first"), *also)

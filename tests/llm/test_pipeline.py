@@ -44,3 +44,15 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     sizes = [shards.count(s) for s in range(24)]
     assert max(sizes) - min(sizes) <= 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(shards)
+
+
+def test_near_copies_where_ids_repeat(spark):
+    prepare(spark)
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    one, two, three, four = (text() for _ in range(4))
+    rows = [(1, one), (5, one + " tail"), (5, two), (7, three), (7, three + " tail"), (8, two + " tail"), (9, four), (9, four), (None, one), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sum(x[0] == 7 for x in got) == 1 and {x[1] for x in got if x[0] == 7} <= {three, three + " tail"}
+    assert sorted((x for x in got if x[0] != 7), key=str) == sorted([(1, one), (5, two), (9, four), (None, one), (9, None), (9, "")], key=str)
