@@ -38,12 +38,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, parts: int = 16) -> DataFrame:
+def lookup(rows: DataFrame, key: str | list[str], table: DataFrame, parts: int = 16) -> DataFrame:
     """``rows`` left joined with ``table`` (a row for each ``key``), a frequent key spread over ``parts`` tasks.
 
     The distinct (key, part) pairs, few for any key, fetch the value; rows then
-    meet it by key and part.
+    meet it by key and part.  Null keys meet nothing and stay.
     """
+    by = [key] if isinstance(key, str) else key
     split = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
-    found = split.select(key, "part").distinct().join(table, key, "left")
-    return split.join(found, [key, "part"], "left").drop("part")
+    found = split.where(" and ".join(f"{k} is not null" for k in by)).select(*by, "part").distinct().join(table, by)
+    return split.join(found, [*by, "part"], "left").drop("part")

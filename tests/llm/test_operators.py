@@ -349,6 +349,46 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.dedup(df.where("false")).collect() == []
 
 
+def linked_by_brute_force(x, least):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (x @ x.T >= least).sum(axis=1) - 1
+
+
+def test_embeddings_recall_at_the_limit_and_in_full_buckets(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(500, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cos = r.uniform(0.9801, 0.985, (500, 1))
+    group = x[0] + r.normal(size=(300, 48)) * 0.012
+    rows = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * z, group])
+    want = linked_by_brute_force(rows, 0.98)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    plain = sorted(map(tuple, embedding_dedup.dedup(df).collect()))
+    got = np.array([n for _, n, *_ in plain])
+    assert (got <= want).all() and got[:1000].sum() >= 0.97 * want[:1000].sum() and got.sum() >= 0.99 * want.sum()
+    # a bucket in many blocks gives the same rows as the whole bucket
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "_GATHER", 64)
+    assert sorted(map(tuple, embedding_dedup.dedup(df).collect())) == plain
+
+
+def test_embeddings_at_exactly_the_limit_and_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (7, [0.0, 1.0], 0), (7, [5.0, 0.0], 0), (9, [0.0, 2.0], 0), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("Label2", F.lit(1)).withColumn("copies", F.lit("x"))
+    got = sorted(map(tuple, embedding_dedup.dedup(df, 0.6).collect()), key=str)
+    # 2 links with all; the two rows of id 7 are vectors of their own
+    assert [x[:2] for x in got] == [(1, 2), (2, 4), (7, 2), (7, 2), (9, 2), (None, 0)]
+    assert [x[2] for x in got] == [1, 1, 1, 1, 1, None]
+
+
+def test_hashes_grow_with_the_logarithm():
+    made = [embedding_dedup.choose(64, n, 0.98) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert [m.hashes for m in made] == [2, 3, 4, 5] and all(a.tables <= b.tables <= 40 for a, b in zip(made, made[1:], strict=False))
+
+
 def test_words_of_contract():
     text = "Ab-cd É1 _x y"
     got = [w.decode() for w in decontamination.words(text.encode())]
