@@ -22,8 +22,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only ``names``: extra columns, clashing ones included, never reach an operator."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only ``names``: extra columns never reach an operator, even those that differ from a name only in case."""
+    known = df.columns
+    if len({n.lower() for n in known}) == len(known):
+        return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.toDF(*[f"c{i}" for i in range(len(known))]).select(*[F.col(f"c{known.index(n)}").alias(n) for n in names])
 
 
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:

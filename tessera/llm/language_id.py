@@ -16,6 +16,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +29,11 @@ from tessera.llm._text import mix
 
 BITS = 11
 ORDERS = (1, 2, 3)
-#: Training texts per language, at most about this many, chosen by a hash of the id.
+#: Training texts per language, at most about this many, chosen by a hash of id and text; equal texts of a language count once.
 MAX_PER_LANGUAGE = 1000
 #: And of all languages together, which bounds the driver's memory.
 MAX_TEXTS = 4000
+#: Characters of a text handled at a time, which bounds memory; n-grams run across the pieces.
 PIECE = 1 << 18
 
 #: Language families by ISO 639 code.
@@ -69,38 +71,39 @@ def _letters() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def _hashes(text: str) -> tuple[list[np.ndarray], bool]:
-    """Buckets of the n-grams of each order, in one piece of text."""
+def _symbols(text: str, piece: int) -> Iterator[np.ndarray]:
+    """Letters of a text, lower-cased, and one 0 for what stands around and between them, in pieces."""
     if not _table:
         _table.append(_letters())
-    a = _table[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not a.any():
-        return [np.empty(0, np.int64)] * len(ORDERS), False
-    a = a[np.concatenate(([True], (a[1:] != 0) | (a[:-1] != 0)))].astype(np.uint64)
-    a = np.concatenate((np.zeros(1, np.uint64), a, np.zeros(1, np.uint64)))
-    out = []
-    for n in ORDERS:
-        key = np.full(len(a) - n + 1, n, np.uint64)
-        for k in range(n):
-            key = (key << np.uint64(21)) ^ a[k : len(a) - n + 1 + k] ^ (key >> np.uint64(43))
-        out.append((mix(key) >> np.uint64(64 - BITS)).astype(np.int64))
-    return out, True
-
-
-def pieces(text: str) -> list[str]:
-    """A text in pieces of bounded length, so a very long one needs little memory."""
-    return [text] if len(text) <= PIECE else [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-
-
-def vector(text: str | None) -> np.ndarray | None:
-    """Share of each bucket within its order; None without a letter."""
+    text = text.lower()
+    last = 1  # a 0 begins the stream
+    for i in range(0, max(len(text), 1), piece):
+        a = _table[0][np.frombuffer(text[i : i + piece].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if i == 0:
+            a = np.concatenate((np.zeros(1, np.uint32), a))
+        if i + piece >= len(text):
+            a = np.concatenate((a, np.zeros(1, np.uint32)))
+        before = np.concatenate((np.array([last], np.uint32), a[:-1]))
+        last = int(a[-1])
+        yield a[(a != 0) | (before != 0)].astype(np.uint64)
+
+
+def vector(text: str | None, piece: int = PIECE) -> np.ndarray | None:
+    """Share of each bucket within its order; None without a letter.  ``piece`` bounds memory and changes nothing."""
     out, seen = np.zeros((len(ORDERS), 1 << BITS), np.float64), False
-    for p in pieces(text or ""):
-        h, some = _hashes(p)
-        seen |= some
-        if some:
-            for k, x in enumerate(h):
-                out[k] += np.bincount(x, minlength=1 << BITS)
+    tail = np.empty(0, np.uint64)
+    for a in _symbols(text or "", piece):
+        seen = seen or bool(a.any())
+        a = np.concatenate((tail, a))
+        for k, n in enumerate(ORDERS):
+            # n-grams that end in a symbol of this piece
+            s = a[max(0, len(tail) - n + 1) :]
+            if len(s) >= n:
+                key = np.full(len(s) - n + 1, n, np.uint64)
+                for j in range(n):
+                    key = (key << np.uint64(21)) ^ s[j : len(s) - n + 1 + j] ^ (key >> np.uint64(43))
+                out[k] += np.bincount((mix(key) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+        tail = a[max(0, len(a) - max(ORDERS) + 1) :]
     return (out / np.maximum(out.sum(axis=1, keepdims=True), 1)).ravel() if seen else None
 
 
@@ -180,17 +183,19 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def fit(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> Model:
-    """Learn from ``docs(doc_id, text, lang)``; about ``most`` texts of each language, whole, chosen by a hash of the id.
+    """Learn from ``docs(doc_id, text, lang)``; about ``most`` texts of each language, whole, chosen by a hash of id and text.
 
-    Only sparse feature vectors of the chosen texts reach the driver.
+    Only sparse feature vectors of the chosen texts reach the driver, and a row
+    for each language: the machines, and so the model that is broadcast, grow
+    with the square of the languages of a family, which labels bound.
     """
-    usable = columns(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    usable = columns(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").withColumn("turn", F.xxhash64(F.lit(11), "doc_id", "text"))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return Model([])
     most = min(most, MAX_TEXTS // len(sizes) + 1)
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, most / n) * (1 << 30)))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
+    chosen = usable.where(F.pmod("turn", F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "turn"])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
