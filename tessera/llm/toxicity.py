@@ -9,7 +9,8 @@ model is a short sorted list of buckets and weights whose size is bounded by
 
 Texts that are null or empty have no features and score the bias.  Ties and
 repeated rows score alike; ids may repeat.  Without labelled rows, or with one
-class only, the model is the smoothed class share.  Extra columns are ignored.
+class only, the model is the smoothed class share.  An id that is marked both
+ways is taken as toxic; rows equal in id and text are learned once.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tessera.llm._text import WORD_TABLE, mix, stem_hashes
 BITS = 20
 #: Words and their stems hash below this bucket, n-grams and skip-grams above.
 HALF = 1 << (BITS - 1)
-#: Labelled rows used for training, at most about this many (chosen by a hash of the id).
+#: Labelled rows used for training, at most about this many (chosen by a hash of id and text).
 MAX_LABELLED = 8000
 EPOCHS = 3
 _STEMS = (6, 8)
@@ -123,15 +124,16 @@ def _train(rows: list[tuple[np.ndarray, int]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the rows of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks.
 
-    The labelled rows are bounded by ``max_labelled``: a hash of the id admits
-    the share of ids that meets the bound.  They are hashed where they lie and
-    one task learns from them in the order of that hash.
+    The labelled rows are bounded by ``max_labelled``: a hash of id and text
+    admits the share of them that meets the bound, however often an id occurs.
+    They are hashed where they lie and one task learns from them in the order
+    of that hash.  A very long text has at most ``2 ** BITS`` features.
     """
     marks = columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit(77), "doc_id")
-    n = marks.count()
+    marked = columns(docs, "doc_id", "text").withColumn("turn", F.xxhash64(F.lit(77), "doc_id", "text")).join(marks, "doc_id").select("turn", "toxic", "text")
+    n = marked.select("turn").distinct().count()
     if n > max_labelled:
-        marks = marks.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+        marked = marked.where(F.pmod("turn", F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
 
     def hashed(batches: Batches) -> Batches:
         for b in batches:
@@ -147,10 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             yield pa.RecordBatch.from_arrays([pa.array([m.at.tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary())], names=["at", "weight"])
 
     found = (
-        columns(docs, "doc_id", "text")
-        .join(marks, "doc_id")
-        .withColumn("turn", F.xxhash64(F.lit(77), "doc_id", "text"))
-        .select("turn", "toxic", "text")
+        marked.dropDuplicates(["turn"])
         .mapInArrow(hashed, "turn long, toxic int, at binary")
         .repartition(1)
         .sortWithinPartitions("turn", "toxic")
