@@ -190,6 +190,10 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark, docs, empty):
     right = [(x.predicted == 1) == (x.doc_id % 5 == 0) for x in got if x.held_out]
     assert sum(right) / len(right) > 0.97 and all(0 <= x.score <= 1 for x in got)
     assert toxicity.judge(docs, marks).count() == len(ROWS) and toxicity.judge(empty, marks).collect() == []
+    # one id with any number of rows, and rows repeated: the bound is on rows learned from
+    hot = df.unionByName(spark.range(3000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("scoundrel "), F.col("id").cast("string")).alias("text"))).unionByName(df.where("doc_id = 5"))
+    bounded = toxicity.fit(hot.select("*", F.lit(1).alias("TEXT")), marks, 200)
+    assert len(bounded.at) and toxicity.score(docs.select("*", F.lit(1).alias("Text")), bounded).count() == len(ROWS)
     assert toxicity.judge(docs, marks.where("false")).where("score between 0 and 1").count() == len(ROWS)
 
 
@@ -200,6 +204,9 @@ def test_language_held_out(spark, docs, empty):
     got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     held = [x.lang_pred == list(syllables)[x.doc_id % 4] for x in got if x.held_out]
     assert sum(held) / len(held) > 0.97
+    for text in ("Die Katze, 12 saß.  Da!", "  ñandú " * 40, "x", "a b", "1 2", "ß" * 50):
+        whole = language_id.vector(text)
+        assert all((v := language_id.vector(text, k)) is None and whole is None or (v == whole).all() for k in (1, 2, 3, 7, 64))
     odd = language_id.identify(docs).collect()
     assert len(odd) == len(ROWS) and {x.lang_pred for x in odd if x.doc_id in (2, 3, 5)} == {"und"}
     assert language_id.identify(empty).collect() == []
@@ -218,10 +225,17 @@ def test_url_rules_and_models(spark):
         assert got[i].rule == rule and (verdict is None or got[i].verdict == verdict) and got[i].verdict in ("allow", "block")
     assert (got[3].host, got[3].path) == ("x.net", "/de/1") and (got[8].host, got[8].path) == ("", "")
     assert url_filter.judge(df.where("false")).collect() == []
+    long = "http://www.example.org/q?" + "k=v&" * 60_000
+    odd = spark.createDataFrame([(1, long, 1), (1, long, 1), (2, "http://A.net/de/x", 2), (2, "http://a.net/de/x", 2)], "page_id long, url string, URL int").union(df.select("page_id", "url", F.lit(0)))
+    again = [tuple(x) for x in url_filter.judge(odd).collect()]
+    assert len(again) == 4 + len(urls) and again.count(next(x for x in again if x[0] == 1 and x[3] is None)) == 2
     rows = [(f"shop.com/en/{i}", "block") for i in range(200)] + [(f"news.net/de/{i}", "allow") for i in range(200)]
     model = url_filter.train(rows)
     assert model.verdict("other.net/de/x") == "allow" and model.verdict("other.com/en/x") == "block"
-    total = sum(math.exp(model.accepted.log("news.net/d", chr(c))) for c in range(256))
+    # query and fragment are read as well
+    told = url_filter.train([(f"http://a.io/p?lang={'en' if i % 2 else 'de'}&n={i}", "block" if i % 2 else "allow") for i in range(400)])
+    assert told.verdict("http://a.io/p?lang=en&n=9999") == "block" and told.verdict("http://a.io/p?lang=de&n=9999") == "allow"
+    total = sum(math.exp(model.accepted.log("news.net/d", chr(c))) for c in range(0x110000))
     assert 0.5 < total <= 1.001
 
 
