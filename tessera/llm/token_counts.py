@@ -7,6 +7,11 @@ the last token of the shorter prefix, so one pass over the word fills the
 table.  Counts at text prefixes are sums of whole words plus one word prefix:
 truncation and budget questions are answered from the tables alone.
 
+Texts are normalised and cut into words as the library does it.  Where all
+characters are in ``_PLAIN``, Python's tables say the same as the library's;
+other texts go through the library's own normaliser and splitter, because
+Unicode tables of different versions disagree on rare characters.
+
 Nulls count as empty texts (0 bytes, 0 tokens); texts are never cut, rows are
 never merged, so repeated rows and ids give repeated result rows; extra
 columns are ignored; an empty table gives an empty result.
@@ -24,8 +29,12 @@ from pyspark.sql import DataFrame
 
 from tessera.llm._io import Batches, arrow_schema, batch, columns
 
-#: Words kept in a worker's cache before it is emptied; bounds memory, never results.
-CACHE_WORDS = 400_000
+#: Bytes of the words kept in a worker's cache before it is emptied; bounds memory, never results.
+CACHE_BYTES = 64 << 20
+#: What an entry takes beside its word.
+_ENTRY = 160
+#: Characters on whose case, composition and class all versions of Unicode agree.
+_PLAIN = "\\x00-\u024f\u2010-\u2026\u20ac"
 _END = "</w>"
 
 
@@ -39,14 +48,19 @@ def _byte_alphabet() -> dict[int, str]:
 class PrefixCounter:
     """Exact token counts at every prefix for a tokenizer file with word ends."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str):
+        """From the text of a tokenizer file."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        spec = json.loads(source)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != _END:
             raise ValueError("a BPE file with word ends is needed")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.plain_pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.rare = regex.compile(f"[^{_PLAIN}]").search
+        self.normalizer = Tokenizer.from_str(source).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.vocab = frozenset(model["vocab"])
@@ -62,6 +76,7 @@ class PrefixCounter:
         self.alphabet = _byte_alphabet()
         self.fits: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, int] = {}
+        self.cached = 0
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """Outermost symbols of a token on one side while it is built, each with the rank of the merge that absorbs it."""
@@ -122,9 +137,11 @@ class PrefixCounter:
         """Tokens of one whole word."""
         n = self.cache.get(piece)
         if n is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
             s = self.symbols(piece)
+            self.cached += 4 * len(piece) + _ENTRY
+            if self.cached > CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 4 * len(piece) + _ENTRY
             n = self.cache[piece] = 1 if s in self.closing else self._closed(s, len(s), *self._open(s, len(s) - 1))
         return n
 
@@ -138,15 +155,21 @@ class PrefixCounter:
             ends.append(self._closed(s, at, last, count))
         return ends
 
+    def pieces(self, text: str) -> list[str]:
+        """Words of a text without special tokens, normalised."""
+        if self.rare(text):
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return self.plain_pieces((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+
     def words(self, text: str) -> list[str | None]:
         """Words of a text in order, None for a special token."""
         if "<|" not in text:
-            return self.pieces(_normal(text))
+            return self.pieces(text)
         out, at = [], 0
         for m in self.special_re.finditer(text):
-            out += [*self.pieces(_normal(text[at : m.start()])), None]
+            out += [*self.pieces(text[at : m.start()]), None]
             at = m.end()
-        return out + self.pieces(_normal(text[at:]))
+        return out + self.pieces(text[at:])
 
     def count(self, text: str) -> int:
         get, word = self.cache.get, self.word
@@ -183,13 +206,9 @@ class PrefixCounter:
         return " ".join(kept), used
 
 
-def _normal(text: str) -> str:
-    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-
-
 @lru_cache(maxsize=2)
-def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+def counter(source: str) -> PrefixCounter:
+    return PrefixCounter(source)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -199,11 +218,14 @@ _ARROW = arrow_schema(doc_id=pa.int64(), n_bytes=pa.int64(), n_tokens=pa.int64()
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Bytes, tokens and whether a text is over ``limit`` tokens, a row for each row of ``docs(doc_id, text)``.
 
-    One scan without a shuffle; every worker loads the vocabulary from ``path`` once.
+    One scan without a shuffle.  ``path`` is read on the driver; the file, whose
+    size a vocabulary bounds, is broadcast and every worker reads it once.
     """
+    with open(path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Batches) -> Batches:
-        table = counter(path)
+        table = counter(shared.value)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [table.count(t) for t in texts]
