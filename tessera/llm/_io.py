@@ -29,6 +29,18 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(known))]).select(*[F.col(f"c{known.index(n)}").alias(n) for n in names])
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row as the struct ``row``, whatever its columns are called, beside the columns ``names``."""
+    known = df.columns
+    safe = df.toDF(*[f"c{i}" for i in range(len(known))])
+    return safe.select(F.struct("*").alias("row"), *[F.col(f"c{known.index(n)}").alias(n) for n in names])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows that ``packed`` put into ``row``, by their own names again."""
+    return df.select("row.*").toDF(*names)
+
+
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in schema)], schema=schema)
 

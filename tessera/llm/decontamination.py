@@ -4,7 +4,8 @@ All benchmark items are inserted into one suffix automaton whose alphabet is
 word ids.  Training words are streamed through it; at each word the automaton
 gives the length of the longest item passage that ends there.  A passage of 13
 words or more, or a whole item of fewer words, is a hit and its words are
-marked.
+marked.  ``clean`` drops the documents whose marked words exceed the coverage
+limit; ``strip`` does so too, and cuts the marked spans out of all others.
 
 Definitions: words are maximal runs of digits, a-z (A-Z lower-cased) and any
 non-ASCII characters.  Null or empty texts have no words, no hits and are never
@@ -15,18 +16,22 @@ repeated rows; extra columns are ignored; an empty benchmark finds nothing.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from tessera.llm._io import Batches, arrow_schema, as_bytes, batch, columns
+from tessera.llm._io import Batches, arrow_schema, as_bytes, batch, columns, packed, unpacked
 from tessera.llm._text import WORD_TABLE
 
 WINDOW = 13
 #: Words of benchmark items in one automaton.  A larger benchmark is dealt into several, run one after the other.
 AUTOMATON_WORDS = 400_000
+_RUN = re.compile(rb"[^ ]+")
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -34,9 +39,17 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items behind each state."""
+    """Suffix automaton of several word sequences, with the items behind each state.
+
+    Items of equal words are one sequence with several ids.
+    """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+        by_words: dict[tuple[bytes, ...], list[int]] = {}
+        for item, seq in items:
+            by_words.setdefault(tuple(seq), []).append(item)
+        self.named = list(by_words.values())
+        items = [(k, list(seq)) for k, seq in enumerate(by_words)]
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -118,7 +131,7 @@ class Automaton:
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             if b - a >= self.least:
                 self._stream(ids[a:b].tolist(), a, spans, found)
-        return _merged(spans), found
+        return _merged(spans), {item for k in found for item in self.named[k]}
 
     def _stream(self, ids: list[int], base: int, spans: list[tuple[int, int]], found: set[int]) -> None:
         nxt, link, length, window = self.next, self.link, self.length, self.window
@@ -156,20 +169,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _dealt(benchmark: DataFrame, limit: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Items in groups of about ``limit`` words, without those that have no words.  A test set is bounded; each group is one automaton."""
-    groups: list[list[tuple[int, list[bytes]]]] = []
+def _dealt(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items in groups of about ``limit`` words, without those that have no words; the driver holds one group at a time, the first may be empty."""
+    group: list[tuple[int, list[bytes]]] = []
     total = 0
     for r in columns(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates().toLocalIterator():
         seq = words(r["text"].encode())
-        if not seq:
-            continue
-        if not groups or total + len(seq) > limit:
-            groups.append([])
-            total = 0
-        groups[-1].append((r["item_id"], seq))
-        total += len(seq)
-    return groups
+        if group and total + len(seq) > limit:
+            yield group
+            group, total = [], 0
+        if seq:
+            group.append((r["item_id"], seq))
+            total += len(seq)
+    yield group
 
 
 _STEP = arrow_schema(n_words=pa.int64(), spans=pa.list_(pa.int32()), items=pa.list_(pa.int64()))
@@ -178,19 +190,19 @@ _STEP = arrow_schema(n_words=pa.int64(), spans=pa.list_(pa.int32()), items=pa.li
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, flat hit ``spans`` (from, to, from, to, ... in words) and the ``items`` found.
 
-    One scan without a shuffle.  The automaton is broadcast: its size is
-    bounded by ``automaton_words``; further groups of items run as further
-    steps over the same rows, and spans are united.
+    One scan without a shuffle.  The automaton is built once and broadcast: its
+    size is bounded by ``automaton_words``; further groups of items run as
+    further steps over the same rows, and spans are united.
     """
     spark = docs.sparkSession
     keep = [f for f in docs.schema.fields if f.name not in _STEP.names]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     schema = StructType([*keep]).add("n_words", LongType()).add("spans", ArrayType(IntegerType())).add("items", ArrayType(LongType()))
-    for k, group in enumerate(_dealt(benchmark, automaton_words) or [[]]):
-        shared = spark.sparkContext.broadcast([(i, s) for i, s in group])
+    for k, group in enumerate(_dealt(benchmark, automaton_words)):
+        shared = spark.sparkContext.broadcast(Automaton(group, window))
 
         def run(batches: Batches, shared=shared, first=k == 0) -> Batches:
-            machine = Automaton(shared.value, window)
+            machine = shared.value
             for b in batches:
                 n, spans, items = [], [], []
                 before = [] if first else zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)
@@ -239,5 +251,28 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their own columns, whatever their names."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return judged(rows, benchmark, **options).where(~F.col("contaminated")).select("row.*")
+    return unpacked(judged(packed(docs, "text"), benchmark, **options).where(~F.col("contaminated")), docs.columns)
+
+
+def cut(text: bytes, spans: list[int]) -> bytes:
+    """``text`` without the words of the flat ``spans``, and without what lies between the words of a span."""
+    found = [m.span() for m in _RUN.finditer(text.translate(WORD_TABLE))]
+    out, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        out.append(text[at : found[a][0]])
+        at = found[b - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def strip(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``clean``, and the hit spans cut out of the texts of what remains; other columns stay as they are."""
+    rows = judged(packed(docs, "text"), benchmark, **options).where(~F.col("contaminated")).select("row", "text", "spans")
+    schema = rows.select("row", "text").schema
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            texts = [cut(t, s).decode() if s else None if t is None else t.decode() for t, s in zip(as_bytes(b.column("text")), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    at = docs.columns.index("text")
+    return unpacked(rows.mapInArrow(run, schema).withColumn("row", F.col("row").withField(f"c{at}", F.col("text"))), docs.columns)

@@ -68,6 +68,14 @@ def test_decontamination_report(spark, docs):
     assert decontamination.report(docs, items).count() == len(ROWS)
     assert decontamination.report(docs, items.where("false")).where("n_hit > 0 or contaminated").count() == 0
     assert decontamination.clean(docs, items).columns == docs.columns
+    odd = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, TEXT int")
+    assert sorted(x[0] for x in decontamination.clean(odd, items).collect()) == [2, 3, 4, 5]
+    kept = {x[0]: x[1] for x in decontamination.strip(odd, items).collect()}
+    assert kept == {2: "a  b " + "z " * 100, 3: None, 4: "", 5: texts[4][1]}
+    assert decontamination.report(docs.where("false"), items).collect() == []
+    twice = items.unionByName(items.selectExpr("item_id + 100 as item_id", "text")).unionByName(items)
+    same = {r.doc_id: r.items_sha256 for r in decontamination.report(spark.createDataFrame(texts, "doc_id long, text string"), twice).collect()}
+    assert same[1] == digest(7, 107) and same[2] == digest(8, 108)
 
 
 @pytest.mark.parametrize("item", ["", "!!!"])
@@ -161,11 +169,25 @@ def test_token_counts_match_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    lib, own = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    lib, own = Tokenizer.from_file(path), token_counts.PrefixCounter(open(path, encoding="utf-8").read())
     r = random.Random(1)
     alphabet = "aàáéñΣσςİıßẞ'sS’ \n\t ​0१²!!…日本語한글👍🏽ﬁǅͅ"
     texts = ["".join(r.choice([*alphabet, "<|endoftext|>"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     assert [own.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    # every plain character between letters, digits and marks; then rare blocks at random
+    plain = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2027), 0x20AC]) if not own.rare(c)]
+    assert len(plain) == 0x250 + 23 + 1
+    texts = [f"a{c}b {c}1{c} .{c}{c}'{c}s" for c in plain] + ["".join(r.choice(plain) for _ in range(12)) for _ in range(5000)]
+    rare = [*range(0x300, 0x590), *range(0x1E00, 0x2000), *range(0x20A0, 0x2190), *range(0xA640, 0xA800), *range(0x10400, 0x10600), *range(0x1E900, 0x1E960)]
+    texts += ["".join(r.choice([chr(r.choice(rare)), r.choice(plain)]) for _ in range(10)) for _ in range(5000)] + ["\ua7cb", "\ua7dc x", "\u20b9\u058b"]
+    assert [own.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    small, token_counts.CACHE_BYTES = token_counts.CACHE_BYTES, 2000
+    own = token_counts.PrefixCounter(open(path, encoding="utf-8").read())
+    try:
+        assert [own.count(t) for t in texts[:300]] == [len(e.ids) for e in lib.encode_batch(texts[:300], add_special_tokens=False)] and own.cached <= 2000
+    finally:
+        token_counts.CACHE_BYTES = small
+    assert token_counts.count_tokens(docs.where("false"), path).collect() == []
     for w in ("antidisestablishmentarianism", "ñandúéß", "日本語한글"):
         assert own.word_prefixes(w) == [0] + [len(lib.encode(w[: i + 1], add_special_tokens=False).ids) for i in range(len(w))]
     cut, used = own.truncate("hello wonderful worldwide tokenization", 4)
