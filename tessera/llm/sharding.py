@@ -114,6 +114,12 @@ class Feistel:
         return out
 
 
+def expanded(keys: DataFrame, copies: str, into: str, by: str, run: int = 10_000) -> DataFrame:
+    """Each row of ``keys`` as often as ``copies`` says, numbered from 0 in ``into``; many copies are dealt to tasks in runs first."""
+    runs = keys.withColumn("_from", F.explode(F.expr(f"sequence(0L, {copies} - 1, {run}L)"))).repartition(by, "_from")
+    return runs.withColumn(into, F.explode(F.expr(f"sequence(_from, least(_from + {run - 1}, {copies} - 1))"))).drop("_from")
+
+
 def numbered(keys: DataFrame, by: list[str], salt: int = 0) -> tuple[DataFrame, int]:
     """``keys`` with a dense ``number`` from 0 and the row count; rows equal in ``by`` become ``copies`` of one key first.
 
@@ -132,10 +138,25 @@ def numbered(keys: DataFrame, by: list[str], salt: int = 0) -> tuple[DataFrame,
     within = Window.partitionBy("bucket").orderBy("turn", *by).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("copies").over(within), F.lit(0))
     start = counted.withColumn("before", before).join(first, "bucket").withColumn("start", F.col("first") + F.col("before"))
-    out = start.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("number", F.col("start") + F.col("copy"))
+    out = expanded(start, "copies", "copy", "turn").withColumn("number", F.col("start") + F.col("copy"))
     return out.select(*by, "number"), int(rows or 0)
 
 
+def dealt(docs: DataFrame, shards: int = 24, seed: int = 20240229) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``: the corpus itself, every row whole, by the same law.
+
+    Rows that are equal in all columns, told by 128 bits of hash, are
+    interchangeable, and one of them is joined to the places of all.
+    """
+    names = docs.columns
+    turned = docs.select("*", F.xxhash64(F.lit(seed), *names).alias("_turn"), F.xxhash64(F.lit(seed + 1), *names).alias("_turn2"))
+    rows, n = numbered(turned.select("_turn", "_turn2"), ["_turn", "_turn2"], seed)
+    place = rows.select("_turn", "_turn2", Feistel(max(n, 1), seed).column(F.col("number")).alias("_place"))
+    return turned.dropDuplicates(["_turn", "_turn2"]).join(place, ["_turn", "_turn2"]).select(
+        *names, F.pmod("_place", F.lit(shards)).cast("int").alias("shard"), F.call_function("div", F.col("_place"), F.lit(shards)).alias("slot")
+    )
+
+
 def shard(docs: DataFrame, shards: int = 24, seed: int = 20240229, overhead: int = 8) -> DataFrame:
     """Contract rows: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under the law ``rows``)."""
     text = F.col("text")

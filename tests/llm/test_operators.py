@@ -146,7 +146,10 @@ def test_mix(spark, docs, empty):
         size[x.source_size], goal[x.source_size] = x.source_size, x.target
         taken[x.source_size] = taken.get(x.source_size, 0) + x.taken
     assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
-    assert all(abs(taken[k] - goal[k]) <= 4 * mixing.BLOCK for k in goal)
+    assert all(abs(taken[k] - goal[k]) <= 1 for k in goal)
+    tiny = spark.createDataFrame([(1, "a b c", "a"), (2, "w " * 500, "b"), (3, "w " * 500, "c"), (4, None, "d"), (5, "w " * 500, "c"), (5, "w " * 500, "c")], "doc_id long, text string, source string")
+    assert {x.doc_id: (x.target, x.taken) for x in mixing.report(tiny.where("doc_id < 4")).collect()}[1] == (6.0, 6)
+    assert mixing.report(tiny).where("doc_id = 4 and taken = 0 and target = 0").count() == 1
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.report(df).collect()))
     assert mixing.report(empty).collect() == [] and mixing.report(docs).count() == len(ROWS)
 
@@ -163,6 +166,61 @@ def test_mixed_texts_hold_the_taken_words(spark):
     assert all(max(v.count(w) for w in set(v)) <= 2 for v in words.values())
 
 
+def test_quotas_deal_the_blocks_to_shards(spark):
+    rows = [(i, " ".join(f"d{i}_{k}" for k in range(50 + 7 * i)), "en", "abc"[i % 3], 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed(df, block=8, shards=5, by_shard=True).collect()
+    sizes = {s: sum(len(t.split()) for _, t, _, x, _ in rows if x == s) for s in "abc"}
+    by_shard = {}
+    for r in got:
+        by_shard[r.source, r.shard] = by_shard.get((r.source, r.shard), 0) + len(r.text.split())
+    for share in mixing.plan(sorted(sizes.items()), 8, 5, 20240229):
+        for k, quota in enumerate(share.quotas):
+            assert abs(by_shard.get((share.source, k), 0) - 8 * quota) <= 2 * 8, (share.source, k)
+        assert sum(by_shard.get((share.source, k), 0) for k in range(5)) == math.floor(share.target + 0.5)
+    # the same words as without shards
+    plain = {(r.doc_id, w) for r in mixing.mixed(df, block=8, shards=5).collect() for w in r.text.split()}
+    assert plain == {(r.doc_id, w) for r in got for w in r.text.split()}
+
+
+def test_taken_words_against_brute_force(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 7, 8, 9, 30, 200])), r.choice(["a", "b", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, block=8).collect()
+    by_source = {}
+    for x in got:
+        by_source.setdefault(x.source_size, []).append(x)
+    for size, found in by_source.items():
+        found.sort(key=lambda x: (x.start, x.size))
+        assert [x.start for x in found if x.size] == [sum(y.size for y in found[:k]) for k, x in enumerate(found) if x.size]
+        x = found[0]
+        for again in (0, 1):
+            whole, rest = x.fill[2 * again : 2 * again + 2]
+            rank = [(j * x.step + x.offset) % max(1, x.blocks) for j in range(x.blocks)]
+            assert sorted(rank) == list(range(x.blocks))
+            took = [k % 8 < (8 if rank[k // 8] < whole else rest if rank[k // 8] == whole else 0) for k in range(size)]
+            assert [sum(took[y.start : y.start + y.size]) for y in found] == [(y.first_pass, y.second_pass)[again] for y in found]
+
+
+def test_dealt_rows_are_the_corpus(spark, docs, empty):
+    many = docs.select(*("doc_id", "text", "lang", "source")).unionByName(spark.range(30_000).selectExpr("7L as doc_id", "'same' as text", "'en' as lang", "null as source"))
+    got = sharding.dealt(many)
+    assert sorted(map(str, got.drop("shard", "slot").collect())) == sorted(map(str, many.collect()))
+    n = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert max(n) - min(n) <= 1 and len(n) == 24
+    assert got.groupBy("shard").agg(F.max("slot").alias("m"), F.countDistinct("slot").alias("d"), F.count("*").alias("n")).where("d != n or m != n - 1").count() == 0
+    assert sharding.dealt(empty).collect() == []
+
+
+def test_shards_against_python(spark):
+    rows = [(i, "t" * (i % 50)) for i in range(300)] + [(5, "t" * 5)] * 4
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    f = sharding.Feistel(len(rows), 20240229)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((f.apply(i) % 24, f.apply(i) // 24) for i in range(len(rows)))
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len(t) + 8, zlib.crc32(t.encode())) for i, t in rows)
+
+
 # -- token counts
 def test_token_counts_match_the_library(spark, docs):
     P = pytest.importorskip("public_tokenizers")
