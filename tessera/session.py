@@ -62,22 +62,30 @@ def _ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    The folder comes from the session; only where it is unset (tests on one
-    machine) a temporary folder is used.
+    The folder comes from the session; only where it is unset, on one machine,
+    a temporary folder is used.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, set here only where nothing has set it."""
+    """The folder all executors see: ``spark.checkpoint.dir``, set here only where nothing has set it and all run on one machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     configured = sc.getConf().get("spark.checkpoint.dir")
     if known.isEmpty():
         if not configured:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             configured = tempfile.mkdtemp(prefix="tessera-checkpoint-")
             atexit.register(shutil.rmtree, configured, ignore_errors=True)
         sc.setCheckpointDir(configured)
         known = sc._jsc.sc().getCheckpointDir()
     return configured or known.get()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows, wherever its file system is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
