@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.session import prepare
 
@@ -40,6 +42,7 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert kept["ngram_join"] == (clean | {500}) - {20, 31}
     assert kept["decontamination"] == kept["ngram_join"] - {40}
     assert kept["mixing"] <= kept["decontamination"] and kept["sharding"] == kept["mixing"]
+    assert docs.columns == [*corpus_pipeline.NAMES, "shard", "slot"] and all(r.text for r in docs.collect())
     shards = [r.shard for r in docs.collect()]
     sizes = [shards.count(s) for s in range(24)]
     assert max(sizes) - min(sizes) <= 1
@@ -56,3 +59,20 @@ def test_near_copies_where_ids_repeat(spark):
     got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sum(x[0] == 7 for x in got) == 1 and {x[1] for x in got if x[0] == 7} <= {three, three + " tail"}
     assert sorted((x for x in got if x[0] != 7), key=str) == sorted([(1, one), (5, two), (9, four), (None, one), (9, None), (9, "")], key=str)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    prepare(spark)
+    long = "word " * 60_000
+    rows = [(1, "a text", "en", "s", 6, 1), (1, "a text", "en", "s", 6, 1), (None, None, None, None, None, None), (2, "", None, "s", 0, 1), (3, long, "en", None, len(long), 1), (3, long + "x", "en", "s", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT int")
+    docs = docs.withColumns({n: F.lit("clash") for n in ("score", "node", "shard", "spans", "turn", "same", "size")})
+    spark.createDataFrame([(1, 1, None), (3, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (None, "a text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"toxicity": 6, "ngram_join": 5, "decontamination": 6, "sharding": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns[:5] == list(corpus_pipeline.NAMES)
+        n = got.count()
+        assert n == want.get(name, n) and (name != "mixing" or n > 2), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
