@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._graph import lookup
 from tessera.llm._io import Batches, arrow_schema, batch, columns
 from tessera.llm.url_filter import host_and_path
 from tessera.session import checkpoint
@@ -63,9 +64,11 @@ CONTENT_WORDS = frozenset("article content main post entry story article-content
 KEPT = frozenset("html body main article".split())
 SWALLOW = frozenset("script style textarea".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _ATTRS = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
+#: Elements that belong to the main text where they lie in a container around it, and not deeper.
+DIRECT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
 
 
 class Node:
@@ -262,9 +265,21 @@ def _tokens(pages: DataFrame) -> DataFrame:
     )
 
 
+def _main_rank(sizes: dict[int, int]) -> int:
+    """Of the ranks of containers, with the characters in them, the highest that no lower one exceeds by more than twice; 0 without any."""
+    for r in sorted((r for r in sizes if r), reverse=True):
+        if all(2 * sizes[r] >= n for q, n in sizes.items() if 0 < q < r):
+            return r
+    return 0
+
+
 def _containers(rows: list[tuple[str, int, int, int]], n: int) -> list[str]:
     """Content container paths among template roles (path, pages, chars, rank); by their names, else by where the text is."""
-    named = max((r[3] // 2 for r in rows if not r[3] & 1), default=0)
+    sizes: dict[int, int] = {}
+    for r in rows:
+        if not r[3] & 1:
+            sizes[r[3] // 2] = sizes.get(r[3] // 2, 0) + r[2]
+    named = _main_rank(sizes)
     if named:
         best = [r[0] for r in rows if r[3] // 2 == named and not r[3] & 1]
         return sorted(p for p in best if not any(p != q and p.startswith(q + "/") for q in best))
@@ -314,10 +329,11 @@ def _template(rows: list[tuple[str, str, object, int]]) -> set[str]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, containers, constants) of every host with enough pages, from ``pages(host, page, html)``."""
-    tokens = checkpoint(_tokens(pages))
+    """(host, containers, constants) of every host with enough pages, from ``pages(host, page, html)``; an empty host is none."""
+    tokens = checkpoint(_tokens(pages.where("host != ''")))
     hosts = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"))
-    frequent = tokens.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("all_pages") * MIN_SHARE))
+    # a host may hold most tokens: they are spread before they meet its row
+    frequent = lookup(tokens, "host", hosts).where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("all_pages") * MIN_SHARE))
 
     # a token on half of a host's pages or more: all of them are at most as many as two of its pages have
     def build(key: tuple, rows: pa.Table) -> pa.Table:
@@ -340,18 +356,37 @@ def main_text(html: str, containers: list[str] | None, constants: list[str] | No
 
     A page that lacks its host's container, or has more text in its own named
     containers outside, falls back to its own: article elements, then main, then
-    containers by name, then the whole body.
+    containers by name, unless a lower kind holds more than twice the text, then
+    the whole body.  Paragraphs and headings directly in a container around the
+    chosen text belong to it.
     """
     fixed = frozenset(constants or ())
-    blocks = [(p, t, n.inside) for p, t, n in parse(html) if t is not None and not n.skip]
-    top = max((r for *_, r in blocks), default=0)
-    named = [(p, t) for p, t, r in blocks if r == top]
-    content = [(p, t) for p, t, _ in blocks if any(_under(p, c) for c in containers or ())]
+    blocks = [(p, t, n) for p, t, n in parse(html) if t is not None and not n.skip]
+    sizes: dict[int, int] = {}
+    for _, t, n in blocks:
+        sizes[n.inside] = sizes.get(n.inside, 0) + len(t)
+    top = _main_rank(sizes)
+    named = [k for k, (_, _, n) in enumerate(blocks) if not top or any(e.rank == top for e in _above(n))]
+    content = [k for k, (p, _, _) in enumerate(blocks) if any(_under(p, c) for c in containers or ())]
     taken = set(content)
-    if not content or (top and sum(len(x[1]) for x in named if x not in taken) > sum(len(t) for _, t in content)):
+    if not content or (top and sum(len(blocks[k][1]) for k in named if k not in taken) > sum(len(blocks[k][1]) for k in content)):
         content = named
-    slots = [t for p, t in content if _text_key(p, t) not in fixed] if fixed else []
-    return " ".join(slots or [t for _, t in content])
+    around = {id(e) for n in {id(blocks[k][2]): blocks[k][2] for k in content}.values() for e in _above(n) if e.rank}
+    chosen = set(content)
+    for k, (_, _, n) in enumerate(blocks):
+        while n.tag in INLINE:
+            n = n.up
+        if id(n) in around or (n.tag in DIRECT and id(n.up) in around):
+            chosen.add(k)
+    found = [blocks[k][:2] for k in sorted(chosen)]
+    slots = [t for p, t in found if _text_key(p, t) not in fixed] if fixed else []
+    return " ".join(slots or [t for _, t in found])
+
+
+def _above(n: Node | None) -> Iterator[Node]:
+    while n is not None:
+        yield n
+        n = n.up
 
 
 _ARROW = arrow_schema(page_id=pa.int64(), url=pa.string(), text=pa.string(), n_chars=pa.int64())
