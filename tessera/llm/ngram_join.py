@@ -2,8 +2,9 @@
 
 Two sets x and y with Jaccard similarity of at least 0.8 share at least
 T = ceil(4 (|x| + |y|) / 9) shingles.  As in DivideSkip, a set's inverted lists
-are divided: the T - 1 longest lists need only be probed, because a partner
-must occur on one of the other, short lists.  So each set is posted only under
+are divided into L long ones, which are only probed, and short ones, which are
+merged and on which a partner must occur T - L times.  L is T - 1, as many as
+there can be: one occurrence on a short list makes a candidate.  So each set is posted only under
 its shortest lists; lists are put together by a merge sort; candidates on them
 are verified by binary probes of one set's shingles in the other's sorted
 array.
@@ -44,6 +45,8 @@ TABLE_BITS = 20
 #: Bits of the filter by which a scan finds candidates' documents.
 FILTER_BITS = 24
 _CHUNK_BITS = 12
+#: Sets a task remembers as posted.
+_POSTED = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -115,18 +118,26 @@ def posted(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: Broadcast) -> DataFrame:
-    """(shingle, node, at): ``at`` holds the size of the set and the rank of the list, 32 bits each."""
+    """(shingle, node, at): ``at`` holds the size of the set and the rank of the list, 32 bits each.
+
+    A task posts a set once, however many documents have it: a group of copies
+    gives its lists a row for each task at most (or for each ``_POSTED`` sets).
+    """
 
     def run(batches: Batches) -> Batches:
         table = counts.value
+        seen: set[int] = set()
         for b in batches:
             lists, nodes, at = [], [], []
             for t in as_bytes(b.column("text")):
                 s = shingle_set(t)
-                if len(s):
+                if len(s) and (node := node_of(s)) not in seen:
+                    if len(seen) >= _POSTED:
+                        seen.clear()
+                    seen.add(node)
                     p = posted(s, table)
                     lists.append(p)
-                    nodes.append(np.full(len(p), node_of(s), np.int64))
+                    nodes.append(np.full(len(p), node, np.int64))
                     at.append((len(s) << 32) + np.arange(len(p), dtype=np.int64))
             if lists:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (lists, nodes, at)], names=["shingle", "node", "at"])

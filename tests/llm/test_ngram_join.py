@@ -79,6 +79,16 @@ def test_star_of_copies_that_do_not_link_to_each_other(spark):
     assert got == brute(rows)
 
 
+def test_one_group_of_copies_and_one_shared_passage(spark):
+    r = random.Random(12)
+    word = lambda: f"v{r.randrange(5000)}"
+    copy, passage = " ".join(word() for _ in range(80)), " ".join(word() for _ in range(30))
+    rows = [(i, copy) for i in range(120)] + [(200 + i, " ".join(word() for _ in range(r.choice([2, 6, 20, 60]))) + " " + passage) for i in range(120)]
+    rows += [(400 + i, copy + " " + word()) for i in range(20)] + [(500, "long " * 50_000), (501, "long " * 50_001)]
+    got = sorted((tuple(x) for x in ngram_join.link(spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, TEXT int, at int")).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert ngram_join.link(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

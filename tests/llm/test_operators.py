@@ -367,6 +367,49 @@ def test_template_text_of_nested_classes(spark):
     assert [got[i] for i in (40, 43, 50, 60, 65)] == [own(40) + " Members read on"] * 2 + [own(50) + " Members read on", own(60) + " Members read on", own(65)]
 
 
+def test_containers_around_and_beside_the_main_text():
+    text = lambda html: html_extraction.main_text(html, None, None)
+    assert text("<main><p>Intro</p><div>Junk</div><article>The article itself</article></main>") == "Intro The article itself"
+    assert text("<div class='content'>A long text of many words</div><article>Teaser</article>") == "A long text of many words"
+    assert text("<p class=\"a>Hello</p>") == "Hello"
+    assert text("<p class='b>One</p><p title=\"x>y\">Two</p>") == "One Two"
+    assert text("<p>a <b class=\"x") == "a"
+    long = "<article>" + "<p>word" * 50_000
+    assert len(text(long).split()) == 50_000 and text("<p title=\"" * 3000) == ""
+
+
+def test_pages_without_a_host_share_nothing(spark):
+    page = "<html><body><div class='top'>Site</div><article><h1>T{i}</h1><p>Own {i}<p>More {i}<p>Same note</article></body></html>"
+    rows = [(i, None if i % 2 else "no host", page.format(i=i)) for i in range(12)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"T{i} Own {i} More {i} Same note" for i in range(12)}
+
+
+def test_classes_against_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(24):
+        parts = [f"<div class='c{k}'><p>same {k}</p><p>{r.random()}</p></div>" * r.choice([1, 1, 2]) for k in range(6) if r.random() < 0.7]
+        rows.append((f"h{i % 2}", i, "<body>" + "".join(parts) + "</body>"))
+    found = html_extraction._tokens(spark.createDataFrame(rows, "host string, page long, html string")).collect()
+    for host in ("h0", "h1"):
+        counts = {}
+        for _, page, html in (x for x in rows if x[0] == host):
+            for path, t, n in html_extraction.parse(html):
+                token = path if t is None else html_extraction._text_key(path, t)
+                counts.setdefault(token, {}).setdefault(page, 0)
+                counts[token][page] += 1
+        want = {}
+        for token, by_page in counts.items():
+            want.setdefault(tuple(sorted(by_page.items())), set()).add(token)
+        got = {}
+        for x in found:
+            if x.host == host and x.token:
+                assert x.pages == len(counts[x.token])
+                got.setdefault(x.vector, set()).add(x.token)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_classes_are_nested():
     rows = [("/b", "/b", 1, 9), ("/b/x", "/b/x", 1, 9), ("/b/y", "/b/y", 1, 9), ("#in", "/b/x/p", 2, 7), ("#out", "/c/p", 3, 8), ("#1", "/c/d", 4, 6), ("#2", "/e/f", 4, 6), ("#3", "/e/g", 4, 6)]
     assert html_extraction._template(rows) == {"/b", "/b/x", "/b/y", "#in"}
