@@ -7,6 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.session import spread
+
 #: Openers, longest first.
 _OPEN = r"<%==|<%%=|<%graphql|<%=|<%\#|<%-|<%%(?!>)|<%"
 _DATA = re.compile(
@@ -38,14 +40,18 @@ _CONTENT = re.compile(r"(?:(?![%=-]?%>|<%).)*", re.S)
 _CLOSE = re.compile(r"%%>|=%>|-%>|%>")
 _BREAK = re.compile(r"\r\n|\r|\n")
 
+#: Text behind a tag's end in which no token means more than its characters.
+_TEXT = re.compile(r"[^<>\"'\-\]?%/\r\n]+")
+
 Token = tuple[str, str, int, int, int, int, int, int]
 
 
-def lex(source: str | None) -> list[Token]:
+def lex(source: str | None, coarse: bool = False) -> list[Token]:
     """``(type, value, from, to, start_line, start_column, end_line, end_column)``; lines from 1, columns from 0.
 
     Ranges count UTF-8 bytes, columns code points.  The last token is ``EOF``.
-    A null source lexes like an empty one.
+    A null source lexes like an empty one.  With ``coarse``, as the parser reads,
+    plain text behind a tag's end is one ``TEXT`` token.
     """
     source = source or ""
     out: list[Token] = []
@@ -53,7 +59,17 @@ def lex(source: str | None) -> list[Token]:
     at, byte, line, column = 0, 0, 1, 0
     plain = source.isascii()
     match, end = _DATA.match, len(source)
+    run, in_text = _TEXT.match, False
     while at < end:
+        if in_text and (m := run(source, at)):
+            value = m.group()
+            at = m.end()
+            size = len(value)
+            after = byte + (size if plain else len(value.encode("utf-8", "surrogatepass")))
+            put(("TEXT", value, byte, after, line, column, line, column + size))
+            column += size
+            byte = after
+            continue
         m = match(source, at)
         kind, value = m.lastgroup, m.group()
         at = m.end()
@@ -66,6 +82,8 @@ def lex(source: str | None) -> list[Token]:
             put((kind, value, byte, after, line, column, line, column + size))
             column += size
         byte = after
+        if coarse and kind in _TURNS:
+            in_text = value[-1] == ">"
         if kind == "ERB_START":
             value = _CONTENT.match(source, at).group()
             at += len(value)
@@ -83,6 +101,9 @@ def lex(source: str | None) -> list[Token]:
     return out
 
 
+#: Tokens after which text begins, and tokens that end it.
+_TURNS = frozenset(("HTML_TAG_END", "HTML_TAG_SELF_CLOSE", "QUOTE", "HTML_TAG_START", "HTML_TAG_START_CLOSE", "HTML_DOCTYPE", "XML_DECLARATION", "XML_PI_START", "CDATA_START", "HTML_COMMENT_START"))
+
 SCHEMA = "doc_id long, idx int, type string, value string, range_from int, range_to int, start_line int, start_column int, end_line int, end_column int"
 
 
@@ -100,4 +121,4 @@ def tokens(docs: DataFrame, text: str = "source") -> DataFrame:
                     names=["doc_id", "idx", "type", "value", "range_from", "range_to", "start_line", "start_column", "end_line", "end_column"],
                 )
 
-    return docs.selectExpr("doc_id", f"`{text}` as source").mapInArrow(run, SCHEMA)
+    return spread(docs.selectExpr("doc_id", f"`{text}` as source")).mapInArrow(run, SCHEMA)

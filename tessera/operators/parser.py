@@ -16,6 +16,8 @@ from tessera.operators.lexer import Token, lex
 from tessera.operators.ruby import control_of
 
 MAX_ERRORS = 25
+#: Of an element's ancestors a row keeps so many, the nearest ones.
+MAX_ANCESTORS = 256
 
 
 @dataclass
@@ -82,7 +84,7 @@ class Parser:
     def __init__(self, source: str, options: Options):
         self.source = source
         self.options = options
-        self.t: list[Token] = lex(source)
+        self.t: list[Token] = lex(source, coarse=True)
         self.i = 0
         self.errors: list[tuple[str, str, int, int]] = []
         self.raw_bytes = source.encode("utf-8", "surrogatepass")
@@ -90,8 +92,11 @@ class Parser:
 
     # -- errors
     def error(self, name: str, message: str, line: int, column: int) -> None:
-        if len(self.errors) < self.options.max_errors:
-            self.errors.append((name, message, line, column))
+        self.errors.append((name, message, line, column))
+
+    def reported(self) -> list[tuple[str, str, int, int]]:
+        """The first errors of the document, by position."""
+        return sorted(self.errors, key=lambda e: e[2:])[: self.options.max_errors]
 
     # -- walk
     def kind(self, ahead: int = 0) -> str:
@@ -445,27 +450,29 @@ class Parser:
 
     # -- tag matching
     def matched(self, items: list[Item]) -> list[Item]:
-        """Elements from the open and close tags of one list of siblings, level by level without recursion on depth."""
+        """Elements from the open and close tags of lists of siblings, without recursion on depth.
+
+        A close tag's partner depends on the tags of its name between the two
+        alone, so one pass finds all partners, and a body is a range of its
+        list: a partner beyond the range is none.
+        """
         out: list[Item] = []
-        work: list[tuple[list[Item], list[Item]]] = [(items, out)]
-        while work:
-            todo, into = work.pop()
-            closes: dict[str, list[int]] = {}
-            opens: dict[str, list[int]] = {}
-            for k, x in enumerate(todo):
-                if x.kind == "close":
-                    closes.setdefault(x.tag, []).append(k)
-                elif x.kind == "open" and not _single(x):
-                    opens.setdefault(x.tag, []).append(k)
-            partner = {name: _partners(opens.get(name, []), ends) for name, ends in closes.items()}
-            k = 0
-            while k < len(todo):
+        lists: list[tuple[list[Item], list[Item]]] = [(items, out)]
+        work: list[tuple[int, int, list[Item]]] = []
+        todo: list[Item] = []
+        partner: dict[int, int] = {}
+        while work or lists:
+            if not work:
+                todo, made = lists.pop()
+                partner = _partners(todo)
+                work = [(0, len(todo), made)]
+            k, stop_at, into = work.pop()
+            while k < stop_at:
                 x = todo[k]
                 if x.kind == "block":
                     for n, part in enumerate(x.branches):
-                        made: list[Item] = []
-                        work.append((part, made))
-                        x.branches[n] = made
+                        x.branches[n] = []
+                        lists.append((part, x.branches[n]))
                     into.append(x)
                 elif x.kind == "close":
                     if x.tag in VOID:
@@ -481,20 +488,20 @@ class Parser:
                     x.close = "void" if x.tag in VOID else "self"
                     into.append(x)
                 else:
-                    end = partner.get(x.tag, {}).get(k)
-                    if end is not None:
-                        self._element(x, todo[k + 1 : end], "tag", work, into)
+                    end = partner.get(k, stop_at)
+                    if end < stop_at:
+                        self._element(x, k + 1, end, "tag", work, into)
                         x.end, x.close_raw = todo[end].end, todo[end].raw
                         x.text = todo[end].tag_space
                         k = end
                     elif x.tag in OPTIONAL_END:
                         stop = k + 1
-                        while stop < len(todo) and not (todo[stop].kind == "open" and todo[stop].tag in CLOSED_BY[x.tag]) and not (todo[stop].kind == "close" and todo[stop].tag != x.tag):
+                        while stop < stop_at and not (todo[stop].kind == "open" and todo[stop].tag in CLOSED_BY[x.tag]) and not (todo[stop].kind == "close" and todo[stop].tag != x.tag):
                             stop += 1
                         if stop > k + 1:
                             if self.options.strict:
                                 self.error("OmittedClosingTagError", f"Element `<{x.raw}>` at ({x.line}:{x.column}) has its closing tag omitted.", x.line, x.column)
-                            self._element(x, todo[k + 1 : stop], "omitted", work, into)
+                            self._element(x, k + 1, stop, "omitted", work, into)
                             x.end = todo[stop - 1].end
                             k = stop - 1
                         else:
@@ -504,9 +511,10 @@ class Parser:
                 k += 1
         return out
 
-    def _element(self, x: Item, body: list[Item], close: str, work: list, into: list[Item]) -> None:
+    def _element(self, x: Item, first: int, end: int, close: str, work: list, into: list[Item]) -> None:
         x.kind, x.close, x.children = "element", close, []
-        work.append((body, x.children))
+        if first < end:
+            work.append((first, end, x.children))
         into.append(x)
 
     def _missing(self, x: Item, into: list[Item]) -> None:
@@ -523,7 +531,7 @@ class Parser:
 
 #: Tokens that are always text between tags.
 PLAIN = frozenset(
-    "IDENTIFIER WHITESPACE NEWLINE NBSP CHARACTER UNDERSCORE COLON AT SEMICOLON AMPERSAND EXCLAMATION EQUALS PERCENT SLASH DASH QUOTE BACKTICK BACKSLASH LT HTML_TAG_END HTML_TAG_SELF_CLOSE".split()
+    "IDENTIFIER WHITESPACE NEWLINE NBSP CHARACTER UNDERSCORE COLON AT SEMICOLON AMPERSAND EXCLAMATION EQUALS TEXT PERCENT SLASH DASH QUOTE BACKTICK BACKSLASH LT HTML_TAG_END HTML_TAG_SELF_CLOSE".split()
 )
 OPENERS = frozenset(("if", "unless", "case", "case_match", "while", "until", "for", "begin", "block"))
 CONTINUES = {
@@ -540,14 +548,14 @@ def _single(x: Item) -> bool:
     return x.closing == "/>" or x.tag in VOID
 
 
-def _partners(opens: list[int], closes: list[int]) -> dict[int, int]:
-    """For each open tag the first close tag at depth 0, counting tags of the same name only: a stack over both lists."""
+def _partners(items: list[Item]) -> dict[int, int]:
+    """For each open tag the first close tag at depth 0, counting tags of the same name only: a stack for each name."""
     out: dict[int, int] = {}
-    stack: list[int] = []
-    for k, is_open in sorted([(o, True) for o in opens] + [(c, False) for c in closes]):
-        if is_open:
-            stack.append(k)
-        elif stack:
+    stacks: dict[str, list[int]] = {}
+    for k, x in enumerate(items):
+        if x.kind == "open" and not _single(x):
+            stacks.setdefault(x.tag, []).append(k)
+        elif x.kind == "close" and (stack := stacks.get(x.tag)):
             out[stack.pop()] = k
     return out
 
@@ -556,6 +564,7 @@ def parse(source: str | None, options: Options | None = None) -> list[dict]:
     """Rows of a document: nodes (kind node), attributes (attr), embedded tags (erb) and errors (error)."""
     p = Parser(source or "", options or Options())
     tree = p.tree()
+    heard = _heard(tree)
     rows: list[dict] = []
     ids = iter(range(1, 1 << 60))
     # explicit stack of (item, parent, index, depth, ancestors, branch path)
@@ -577,7 +586,7 @@ def parse(source: str | None, options: Options | None = None) -> list[dict]:
                "closing": x.closing, "control": x.control, "close": x.close, "close_raw": x.close_raw, "space": x.tag_space, "close_space": x.text if kind == "element" and x.close == "tag" else "",
                "line": x.line, "column": x.column, "range_from": x.start, "range_to": x.end, "ancestors": ancestors, "branch": branch}
         if kind == "element":
-            row |= _summary(x)
+            row |= _summary(x, id(x) in heard)
         elif kind == "block":
             row["name"] = "end" if x.has_end else None
             row["child_tags"] = ["empty" if all(c.kind == "text" and not c.text.strip() for c in part) else "full" for part in x.branches]
@@ -586,8 +595,9 @@ def parse(source: str | None, options: Options | None = None) -> list[dict]:
             embedded(x, node, "content", ancestors)
             for h in x.heads[1:]:
                 embedded(h, node, "content", ancestors)
+        inner = [*ancestors[1 - MAX_ANCESTORS :], x.tag] if kind == "element" else ancestors
         for e in x.erb:
-            embedded(e, node, "tag" if kind == "element" else kind, [*ancestors, x.tag] if kind == "element" else ancestors)
+            embedded(e, node, "tag" if kind == "element" else kind, inner)
         for n, a in enumerate(x.attrs):
             rows.append({"kind": "attr", "node_id": node, "pos": n, "tag": x.tag, "name": a.name, "raw": a.raw, "value": a.value, "quote": a.quote, "equals": a.equals,
                          "parts": [(q.kind, q.text, q.opening) for q in a.parts], "name_parts": [(q.kind, q.text, q.opening) for q in a.name_parts], "line": a.line, "column": a.column,
@@ -596,18 +606,17 @@ def parse(source: str | None, options: Options | None = None) -> list[dict]:
                 if q.kind != "literal":
                     emb += 1
                     rows.append({"kind": "erb", "node_id": node, "pos": emb, "opening": q.opening, "content": q.text, "closing": "%>", "control": control_of(q.opening, q.text),
-                                 "type": "attribute", "name": a.name, "line": a.line, "column": a.column, "ancestors": [*ancestors, x.tag]})
-        inner = [*ancestors, x.tag] if kind == "element" else ancestors
+                                 "type": "attribute", "name": a.name, "line": a.line, "column": a.column, "ancestors": inner})
         kids = [(c, branch) for c in x.children]
         for n, part in enumerate(x.branches):
             kids += [(c, [*branch, f"{node}:{n}"]) for c in part]
         work += [(c, node, n, depth + 1, inner, b) for n, (c, b) in reversed(list(enumerate(kids)))]
-    for n, (name, message, line, column) in enumerate(p.errors):
+    for n, (name, message, line, column) in enumerate(p.reported()):
         rows.append({"kind": "error", "pos": n, "name": name, "message": message, "line": line, "column": column})
     return rows
 
 
-def _summary(x: Item) -> dict:
+def _summary(x: Item, accessible: bool) -> dict:
     """What rules ask of an element: its attributes by name (the first of a name counts), direct text and children."""
     attr: dict[str, str | None] = {}
     for a in x.attrs:
@@ -618,24 +627,32 @@ def _summary(x: Item) -> dict:
         "dynamic": sorted({a.name for a in x.attrs if any(q.kind != "literal" for q in a.parts)}),
         "direct_text": "".join(c.text for c in x.children if c.kind in ("text", "literal")),
         "child_tags": [c.tag for c in x.children if c.kind == "element"],
-        "accessible": _accessible(x),
+        "accessible": accessible,
     }
 
 
-def _accessible(x: Item) -> bool:
-    """Whether text or output stands inside, outside of hidden children."""
-    todo = list(x.children)
+def _heard(tree: list[Item]) -> set[int]:
+    """Ids of the items in which text or output stands, outside of hidden children: children before their parents."""
+    order: list[tuple[Item, Item | None]] = []
+    todo: list[tuple[Item, Item | None]] = [(x, None) for x in tree]
     while todo:
-        c = todo.pop()
-        if (c.kind in ("text", "literal") and c.text.strip()) or (c.kind == "erb" and c.opening.startswith("<%=")):
-            return True
-        if c.kind == "element":
-            names = {a.name: a.value for a in c.attrs}
-            if names.get("aria-hidden") == "true":
-                continue
-            if names.get("aria-label") or (c.tag == "img" and names.get("alt")):
-                return True
-        todo += c.children
-        for part in c.branches:
-            todo += part
-    return False
+        x, up = todo.pop()
+        order.append((x, up))
+        todo += [(c, x) for c in x.children]
+        for part in x.branches:
+            todo += [(c, x) for c in part]
+    out: set[int] = set()
+    for x, up in reversed(order):
+        if up is None or id(up) in out:
+            continue
+        said = id(x) in out
+        if x.kind in ("text", "literal"):
+            said = bool(x.text.strip())
+        elif x.kind == "erb":
+            said = said or x.opening.startswith("<%=")
+        elif x.kind == "element":
+            names = {a.name: a.value for a in x.attrs}
+            said = names.get("aria-hidden") != "true" and (said or bool(names.get("aria-label")) or (x.tag == "img" and bool(names.get("alt"))))
+        if said:
+            out.add(id(up))
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.parser import Options, parse
-from tessera.session import prepare
+from tessera.session import prepare, remove, shared_folder, spread
 
 _PART = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("opening", pa.string())]))
 _FIELDS: dict[str, tuple[pa.DataType, str]] = {
@@ -67,7 +69,7 @@ def parsed(docs: DataFrame, text: str = "source", options: Options | None = None
             if rows:
                 yield _batch(rows)
 
-    return docs.selectExpr("doc_id", f"`{text}` as source").mapInArrow(run, SCHEMA)
+    return spread(docs.selectExpr("doc_id", f"`{text}` as source")).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -75,14 +77,27 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 class Tables:
-    """The tables of a corpus ``docs(doc_id, path, source)``; parsed once and kept while the object is used."""
+    """The tables of a corpus ``docs(doc_id, path, source)``.
+
+    With ``keep`` the corpus is parsed once, into Parquet files by kind in the
+    shared folder, of which a rule reads the columns it needs; executors may
+    come and go.  ``drop`` removes the files when no table is read any more.
+    Without it every table that is read parses the corpus.
+    """
 
     def __init__(self, docs: DataFrame, text: str = "source", options: Options | None = None, keep: bool = True):
         names = docs.columns
         self.docs = docs.select("doc_id", (F.col("path") if "path" in names else F.lit(None).cast("string")).alias("path"), F.col(text).alias("source"))
         self.rows = parsed(docs, text, options)
+        self.folder = None
         if keep:
-            self.rows = self.rows.persist()
+            self.folder = f"{shared_folder(docs.sparkSession)}/parse-{uuid.uuid4().hex}"
+            self.rows.write.partitionBy("kind").parquet(self.folder)
+            self.rows = docs.sparkSession.read.schema(SCHEMA).parquet(self.folder)
+
+    def drop(self) -> None:
+        if self.folder:
+            remove(self.docs.sparkSession, self.folder)
 
     def without(self, docs: DataFrame) -> Tables:
         """The tables of the other documents than ``docs(doc_id)``."""

@@ -17,7 +17,7 @@ from tessera.operators.parser import Options
 from tessera.operators.tables import Tables
 from tessera.plans import fragments
 from tessera.plans.project import project
-from tessera.session import prepare, shared_folder
+from tessera.session import prepare, remove, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,11 +44,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), F.col("html").alias("source"))
+    return spread(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), F.col("html").alias("source")))
 
 
-def _page_tables(spark, sf_dir, **options) -> Tables:
-    return Tables(_pages(spark, sf_dir), options=Options(**options) if options else None, keep=False)
+def _page_tables(spark, sf_dir, keep: bool = False, **options) -> Tables:
+    return Tables(_pages(spark, sf_dir), options=Options(**options) if options else None, keep=keep)
 
 
 def _markup(spark, sf_dir, keep: bool = True) -> Tables:
@@ -179,7 +179,7 @@ def offense_summary(spark, sf_dir):
 @query("select page_id as doc_id, unnest(['html-no-inline-script-elements', 'html-no-style-elements', 'html-navigation-has-label', 'html-require-script-nonce']) as rule from pages")
 def lint_pages(spark, sf_dir):
     only = ("html-no-inline-script-elements", "html-no-style-elements", "html-navigation-has-label", "html-require-script-nonce", "html-img-require-alt", "html-anchor-require-href")
-    return lint.offenses(_page_tables(spark, sf_dir), lint.Config(only=only, gate=False)).select("doc_id", "rule")
+    return lint.offenses(_page_tables(spark, sf_dir, keep=True), lint.Config(only=only, gate=False)).select("doc_id", "rule")
 
 
 @query("select 'parser-no-errors' as rule, count(*) as docs from pages where html like '%<b>%' or html not like '%</body>%'")
@@ -342,14 +342,14 @@ def diff_summary(spark, sf_dir):
         .when(k == 2, F.replace(html, F.lit("<nav><ul>"), F.lit("<nav><hr><ul>")))
         .otherwise(html)
     )
-    pairs = p.select(F.col("page_id").alias("pair_id"), html.alias("old"), new.alias("new"))
+    pairs = spread(p.select(F.col("page_id").alias("pair_id"), html.alias("old"), new.alias("new")))
     return diff.summary(pairs, diff.diff_pairs(pairs))
 
 
 @query()
 def diff_operations(spark, sf_dir):
     p = _read(spark, sf_dir, "pages")
-    pairs = p.select(F.col("page_id").alias("pair_id"), F.col("html").alias("old"), F.regexp_replace("html", "<li>", '<li class="m">').alias("new"))
+    pairs = spread(p.select(F.col("page_id").alias("pair_id"), F.col("html").alias("old"), F.regexp_replace("html", "<li>", '<li class="m">').alias("new")))
     return diff.diff_pairs(pairs).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -496,4 +496,6 @@ def stream_changes(spark, sf_dir):
     name = f"changes_{uuid.uuid4().hex}"
     run = diff_stream(feed).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
+    for part in ("in", "state"):
+        remove(spark, f"{folder}/{part}")
     return spark.read.parquet(f"{folder}/out").where("kind = 'modified'").select("seq", "type")

@@ -89,3 +89,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate rows, wherever its file system is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for stages that work long on each row, where a scan has fewer pieces than that.
+
+    A large input has pieces enough and is left alone, and so are rows that come from a shuffle.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
