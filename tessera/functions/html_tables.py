@@ -79,4 +79,15 @@ NOT_JAVASCRIPT = ("application/json", "application/ld+json", "text/template", "t
 AUTOCOMPLETE_TYPES = ("color", "date", "datetime-local", "email", "month", "number", "password", "range", "search", "tel", "text", "time", "url", "week")
 NON_EMPTY_ATTRIBUTES = ("id", "class", "name", "for", "src", "href", "title", "data", "role")
 NAME_RESTRICTED = _set("h1 h2 h3 h4 h5 h6 strong em i p b code")
-EVENT_HANDLERS = r"^on[a-z]+$"
+# Event handler attributes of HTML, by the kind of event.
+EVENT_HANDLERS = _set(
+    "onafterprint onbeforeprint onbeforeunload onerror onhashchange onlanguagechange onload onmessage onmessageerror onoffline ononline onpagehide onpageshow onpopstate onrejectionhandled onresize onstorage onunhandledrejection onunload "
+    "onblur onchange onfocus onformdata oninput oninvalid onreset onsearch onselect onsubmit "
+    "onkeydown onkeypress onkeyup "
+    "onauxclick onclick oncontextmenu ondblclick onmousedown onmouseenter onmouseleave onmousemove onmouseout onmouseover onmouseup onwheel "
+    "ondrag ondragend ondragenter ondragleave ondragover ondragstart ondrop "
+    "oncopy oncut onpaste "
+    "onabort oncanplay oncanplaythrough oncuechange ondurationchange onemptied onended onloadeddata onloadedmetadata onloadstart onpause onplay onplaying onprogress onratechange onseeked onseeking onstalled onsuspend ontimeupdate onvolumechange onwaiting "
+    "onscroll onscrollend "
+    "onbeforematch onbeforetoggle oncancel onclose oncontextlost oncontextrestored onsecuritypolicyviolation onslotchange ontoggle"
+)

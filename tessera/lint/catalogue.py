@@ -103,7 +103,7 @@ rule("html-no-abstract-roles", "ELEM", "warning", f"{_static('role')} in {sql_li
 rule("html-no-aria-hidden-on-body", "ELEM", "warning", f"tag = 'body' and {_has('aria-hidden')}", "'`<body>` must not be hidden'")
 rule("html-no-aria-hidden-on-focusable", "ELEM", "warning", f"{_val('aria-hidden')} = 'true' and {_FOCUSABLE}", "'Focusable elements must not be hidden'")
 rule("html-no-empty-attributes", "ATTR", "warning", f"(name in {sql_list(H.NON_EMPTY_ATTRIBUTES)} or name like 'data-%' or name like 'aria-%') and trim(value) = '' and not exists(parts, p -> p.kind = 'erb_output')", "concat('`', name, '` must not be empty')")
-rule("html-no-event-handler-attributes", "ATTR", "error", f"name rlike '{H.EVENT_HANDLERS}'", "concat('Avoid `', name, '`')", False)
+rule("html-no-event-handler-attributes", "ATTR", "error", f"name in {sql_list(H.EVENT_HANDLERS)}", "concat('Avoid `', name, '`')", False)
 rule("html-no-positive-tab-index", "ATTR", "warning", "name = 'tabindex' and cast(nullif(regexp_extract(value, '^\\\\s*([+-]?[0-9]+)', 1), '') as int) > 0", "'Positive `tabindex`'")
 rule("html-no-style-attributes", "ATTR", "error", "name = 'style'", "'Avoid inline `style`'", False)
 rule("html-no-title-attribute", "ATTR", "warning", "name = 'title' and tag not in ('iframe', 'link')", "'Avoid `title`'", False)

@@ -98,7 +98,9 @@ def strict_locals_required(t: Tables) -> DataFrame:
     from tessera.operators.erb import strict_locals
 
     partial = t.docs.where("path rlike '(^|/)_[^/]+$'").select("doc_id", F.lit(1).alias("line"), F.lit(0).alias("column"))
-    return _offense(partial.join(strict_locals(t).select("doc_id").distinct(), "doc_id", "left_anti"), "'Partial without strict locals'")
+    # a declaration may be empty
+    declared = strict_locals(t).select("doc_id").unionByName(t.erb.where("opening = '<%#' and content rlike '^\\\\s*locals:\\\\s*\\\\('").select("doc_id"))
+    return _offense(partial.join(declared.distinct(), "doc_id", "left_anti"), "'Partial without strict locals'")
 
 
 def unused_local_variable(t: Tables) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.operators import project as reports
 from tessera.operators.lexer import tokens
 from tessera.operators.parser import Options
 from tessera.operators.tables import Tables
-from tessera.plans import fragments
+from tessera.plans import cases, fragments
 from tessera.plans.project import project
 from tessera.session import prepare, remove, shared_folder, spread
 
@@ -160,6 +160,14 @@ def lint_offenses(spark, sf_dir):
     return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(cases.expected_sql())
+def lint_cases(spark, sf_dir):
+    """Documents about one rule each: whether they break it, in two shapes or more, or keep it."""
+    docs = cases.corpus(_read(spark, sf_dir, "part"))
+    found = lint.offenses(Tables(docs), lint.Config(only=cases.RULES, gate=False), suppress=False).select("doc_id", "rule").distinct()
+    return found.join(docs.select("doc_id", F.col("own").alias("rule")), ["doc_id", "rule"]).select("doc_id", "rule")
+
+
 @query(f"select rule, count(*) n, count(distinct doc_id) docs from ({fragments.expected_sql()}) group by rule order by n desc, rule limit 5")
 def most_violated_rules(spark, sf_dir):
     return lint.most_violated(lint.offenses(_markup(spark, sf_dir), lint.Config(only=fragments.RULES, gate=False)))
