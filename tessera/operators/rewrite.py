@@ -166,23 +166,53 @@ def html_to_helpers(source: str) -> str:
     return re.sub(r'<img((?: [a-z][\w-]*="[^"<]*")+)>', image, source)
 
 
+#: What fixes of markup leave alone: bodies that are no markup, comments, embedded tags.
+_KEPT = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<%.*?(?:%>|\Z)|<(?=(?i:pre|textarea|script|style)\b)")
+_BODY = re.compile(r"(?is)(<(pre|textarea|script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)(.*?)(?=</\2\s*>|\Z)")
+
+
+def _markup_only(source: str, change: Callable[[str], str]) -> str:
+    """``source`` with ``change`` applied to its markup and text, in pieces between what it must leave alone."""
+    kept: list[tuple[int, int]] = []
+    at = 0
+    while m := _KEPT.search(source, at):
+        if m[0] == "<":
+            body = _BODY.match(source, m.start())
+            if body is None:
+                at = m.end()
+                continue
+            kept.append(body.span(3))
+            at = max(body.end(), m.end())
+        else:
+            kept.append(m.span())
+            at = max(m.end(), m.start() + 1)
+    out, at = [], 0
+    for a, b in kept:
+        out += [change(source[at:a]), source[a:b]]
+        at = b
+    return "".join([*out, change(source[at:])])
+
+
 def fixed(source: str) -> str:
-    """Safe automatic fixes of tags, spacing and line ends."""
+    """Safe automatic fixes of tags, spacing and line ends; preformatted text, scripts, styles and comments keep theirs."""
 
     def tag(opening: str, content: str, closing: str) -> str | None:
         if opening == "<%" and re.match(r" +#", content) and not re.match(r"\s*#\s*locals:", content):
             opening, content = "<%#", content.split("#", 1)[1]
         if closing == "=%>":
             closing = "-%>"
-        if opening in ("<%", "<%=", "<%==", "<%-", "<%#") and content.strip() and "\n" not in content:
+        # a commented-out output tag is a comment as it stands
+        if opening in ("<%", "<%=", "<%==", "<%-", "<%#") and content.strip() and "\n" not in content and not (opening == "<%#" and content.startswith("=")):
             content = f" {content.strip()} "
         return opening + content + closing
 
-    source = _each_tag(source, tag)
-    source = re.sub(r"<(/?)([A-Za-z][\w-]*)", lambda m: f"<{m[1]}{m[2].lower()}" if m[2].isupper() or m[2].istitle() else m[0], source)
-    source = re.sub(r"(<[a-z][^<>%\"']*\s[\w-]+)='([^'\"<>]*)'", r'\1="\2"', source)
-    source = re.sub(r"[ \t\f]+(?=\n)", "", source.replace("\r\n", "\n"))
-    source = re.sub(r"\n{4,}", "\n\n\n", source).lstrip("\ufeff")
+    def markup(piece: str) -> str:
+        piece = re.sub(r"<(/?)([A-Za-z][\w-]*)", lambda m: f"<{m[1]}{m[2].lower()}" if m[2].isupper() or m[2].istitle() else m[0], piece)
+        piece = re.sub(r"(<[a-z][^<>%\"']*\s[\w-]+)='([^'\"<>]*)'", r'\1="\2"', piece)
+        piece = re.sub(r"[ \t\f]+(?=\n)", "", piece.replace("\r\n", "\n"))
+        return re.sub(r"\n{4,}", "\n\n\n", piece)
+
+    source = _markup_only(_each_tag(source.lstrip("\ufeff"), tag), markup)
     return source.rstrip("\n") + "\n" if source.strip() else source
 
 

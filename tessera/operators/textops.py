@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.directives import named
-from tessera.functions.html_tables import VOID
+from tessera.functions.html_tables import BLOCK, OPTIONAL_END, P_CLOSERS, VOID
 from tessera.operators.lexer import lex
 from tessera.operators.parser import Item, Options, Parser
 
@@ -100,11 +100,78 @@ def _tag(x: Item) -> str:
     return "<" + " ".join(parts) + (" />" if x.closing == "/>" and x.tag not in VOID else ">")
 
 
+#: Elements around and inside which white space may be added; all others stand in text, where it may not.
+_BLOCKS = BLOCK | P_CLOSERS | OPTIONAL_END | frozenset("html head body title meta link base caption col summary legend".split())
+#: What shows nothing itself: on lines of its own, unless text touches it.
+_UNSEEN = frozenset("script style template noscript".split())
+
+
+def _flows(x: Item) -> bool:
+    return x.kind in ("text", "erb") or (x.kind == "element" and x.tag not in _BLOCKS and x.tag not in _UNSEEN)
+
+
+def _runs(items: list[Item], raw: bytes) -> list[list[Item] | Item]:
+    """Siblings as runs of text with what stands in it, and blocks between them."""
+    out: list[list[Item] | Item] = []
+    for k, x in enumerate(items):
+        stands = _flows(x)
+        if not stands and not (x.kind == "element" and x.tag in _BLOCKS):
+            before = k and _flows(items[k - 1]) and not raw[x.start - 1 : x.start].isspace()
+            after = k + 1 < len(items) and _flows(items[k + 1]) and not raw[x.end : x.end + 1].isspace()
+            stands = bool(before or after)
+        if not stands:
+            out.append(x)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
+def _atoms(run: list[Item], raw: bytes) -> list[str]:
+    """A run cut where it has white space between words: nowhere else may a line end."""
+    out: list[str] = []
+    glued = False
+    for x in run:
+        if x.kind != "text":
+            text = raw[x.start : x.end].decode("utf-8", "surrogatepass")
+            out[-1:] = [out[-1] + text] if glued else [*out[-1:], text]
+            glued = True
+            continue
+        words = x.text.split()
+        if not words:
+            glued = glued and not x.text
+            continue
+        if glued and not x.text[0].isspace():
+            out[-1] += words.pop(0)
+        out += words
+        glued = not x.text[-1].isspace()
+    return out
+
+
+def _filled(atoms: list[str], pad: str, width: int) -> list[str]:
+    lines, line = [], ""
+    for a in atoms:
+        if line and len(pad) + len(line) + 1 + len(a) > width:
+            lines.append(pad + line)
+            line = a
+        else:
+            line = f"{line} {a}" if line else a
+    return [*lines, pad + line] if line else lines
+
+
+def _rewritable(x: Item) -> bool:
+    """Whether the open tag can be written anew: nothing embedded between its attributes, and no value with both quotes."""
+    values = ["".join(p.text if p.kind == "literal" else f"{p.opening}{p.text}%>" for p in a.parts) for a in x.attrs]
+    return not x.erb and not any("'" in v and '"' in v for v in values)
+
+
 def format_source(source: str | None, width: int = 80, indent: int = 2) -> str | None:
-    """A layout of one node a line, text runs kept on a line with inline neighbours where they fit.
+    """A layout of one block a line, deeper ones indented; text and what stands in it fill lines.
 
-    Sources with parse errors, scaffolds and ignored templates stay as they are;
-    preformatted elements keep their body.
+    White space is changed only where the source has some, and at the edges of
+    blocks, where it does not show.  Sources with parse errors, scaffolds and
+    ignored templates stay as they are; preformatted elements keep their body.
     """
     if source is None or "<%%" in source or named("{word}:formatter ignore") in source:
         return source
@@ -118,46 +185,37 @@ def format_source(source: str | None, width: int = 80, indent: int = 2) -> str |
     def verbatim(x: Item) -> str:
         return raw[x.start : x.end].decode("utf-8", "surrogatepass")
 
-    # (item, depth) or (line, None)
-    work: list[tuple] = [(x, 0) for x in reversed(tree)]
+    # (run or item, depth) or (line, None)
+    work: list[tuple] = [(x, 0) for x in reversed(_runs(tree, raw))]
     while work:
         x, depth = work.pop()
         if isinstance(x, str):
             out.append(x)
             continue
         pad = " " * (indent * depth)
-        if x.kind == "text":
-            line = ""
-            for word in x.text.split():
-                if line and len(pad) + len(line) + 1 + len(word) > width:
-                    out.append(pad + line)
-                    line = word
-                else:
-                    line = f"{line} {word}".strip()
-            if line:
-                out.append(pad + line)
-        elif x.kind == "element" and x.close in ("tag", "omitted", "missing") and x.tag not in ("pre", "textarea", "script", "style"):
+        if isinstance(x, list):
+            out += _filled(_atoms(x, raw), pad, width)
+        elif x.kind == "element" and x.close in ("tag", "omitted", "missing") and x.tag not in ("pre", "textarea", "script", "style") and _rewritable(x):
             close = f"</{x.close_raw or x.raw}>" if x.close == "tag" else ""
-            inner = " ".join(" ".join(c.text.split()) for c in x.children if c.kind == "text")
-            if all(c.kind == "text" for c in x.children) and len(pad + _tag(x) + inner + close) <= width:
-                out.append(pad + _tag(x) + inner.strip() + close)
-                continue
+            runs = _runs(x.children, raw)
+            if not runs or (len(runs) == 1 and isinstance(runs[0], list)):
+                line = pad + _tag(x) + " ".join(_atoms(runs[0], raw) if runs else ()) + close
+                if len(line) <= width:
+                    out.append(line)
+                    continue
             out.append(pad + _tag(x))
             if close:
                 work.append((pad + close, None))
-            work += [(c, depth + 1) for c in reversed(x.children)]
-        elif x.kind == "element" and x.close in ("void", "self"):
+            work += [(c, depth + 1) for c in reversed(runs)]
+        elif x.kind == "element" and x.close in ("void", "self") and _rewritable(x):
             out.append(pad + _tag(x))
         elif x.kind == "block":
-            heads = x.heads
             lines: list[tuple] = []
-            for n, head in enumerate(heads):
+            for n, head in enumerate(x.heads):
                 lines.append((f"{pad}{head.opening} {head.text.strip()} {head.closing or '%>'}", None))
                 if n < len(x.branches):
-                    lines += [(c, depth + 1) for c in x.branches[n]]
+                    lines += [(c, depth + 1) for c in _runs(x.branches[n], raw)]
             work += reversed(lines)
-        elif x.kind == "erb":
-            out.append(f"{pad}{x.opening} {x.text.strip()} {x.closing or '%>'}" if x.text.strip() else pad + verbatim(x))
         else:
             out.append(pad + verbatim(x))
     return "\n".join(out) + ("\n" if out else "")

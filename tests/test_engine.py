@@ -180,3 +180,50 @@ def test_inlining_reaches_all_levels_and_ends_at_cycles(spark):
     assert (got[20], got[22]) == ("abee", "abee")
     assert got[30] == docs[16][2] and got[32] == '1<%= render "l/two" %>end' and got[33] == got[34] == 'm<%= render "l/me" %>'
     assert got[40] == docs[-2][2] and got[41] is None
+
+
+TEMPLATES = st.recursive(
+    st.sampled_from(["word", " two words ", "x,", "<br>", "<%= a %>", "<b>bold</b>", "<a href='/x'>link </a>", "\n", " ", "<pre> k  e\n p</pre>", "<script>var a = '<P>'</script>", "<!-- note -->", "<input value=\"1\">", "<% x = 1 %>"]),
+    lambda inner: st.builds(lambda t, xs: t[0] + "".join(xs) + t[1], st.sampled_from([("<div>", "</div>"), ("<p>", "</p>"), ("<ul><li>", "</li></ul>"), ("<span class='c'>", "</span>"), ("<% if a %>", "<% end %>"), ("<% if a %>", "<% else %>z<% end %>")]), st.lists(inner, max_size=5)),
+    max_leaves=12,
+)
+
+
+def _shown(source):
+    """Text as a page shows it: words of blocks, white space that does not show left out."""
+    import re
+
+    from tessera.operators.textops import _BLOCKS
+
+    body = re.sub(r"(?s)<!--.*?-->|<script.*?</script>", lambda m: "\x01" + m[0].replace(" ", "\x02") + "\x01", source)
+    body = re.sub(r"(?s)<pre>.*?</pre>", lambda m: m[0].replace(" ", "\x02").replace("\n", "\x03"), body)
+    edge = "|".join(sorted(_BLOCKS, key=len, reverse=True))
+    body = re.sub(rf"\s*(</?(?:{edge})(?:\s[^>]*)?>)\s*", r"\1", body)
+    return re.sub(r"\s+", " ", body)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEMPLATES)
+def test_formatting_keeps_the_words_of_blocks_and_is_stable(source):
+    import re
+
+    once = format_source(source)
+    assert format_source(once) == once
+    plain = lambda x: re.sub(r"\s+", "", x)
+    assert plain(once).replace("'", '"') == plain(source).replace("'", '"')
+    if "<%" not in source and "<!--" not in source and "<script" not in source:
+        assert _shown(once).strip().replace("'", '"') == _shown(source).strip().replace("'", '"')
+
+
+def test_formatting_inline_neighbours():
+    assert format_source("<p>a<b>b</b>c</p>") == "<p>a<b>b</b>c</p>\n"
+    assert format_source("<div><p><b>bold</b>, world</p></div>") == "<div>\n  <p><b>bold</b>, world</p>\n</div>\n"
+    assert format_source("<div>a<% if b %>c<% end %>d</div>") == "<div>a<% if b %>c<% end %>d</div>\n"
+    assert format_source("<p <% if a %>class='x'<% end %>>t</p>") == "<p <% if a %>class='x'<% end %>>t</p>\n"
+
+
+def test_fixes_keep_code_and_preformatted_text():
+    for kept in ("<script>var a='<P>'  \n\n\n\n</script>\n", "<pre>a  \n\n\n\nb</pre>\n", "<%#= x %>\n", "<!-- <P>  \n -->\n", "<textarea>'A'  \n</textarea>\n"):
+        assert rewrite.fixed(kept) == kept
+    assert rewrite.fixed("<PRE>a  \n</PRE>  \n<P lang='e'>x</P>") == "<pre>a  \n</pre>\n<p lang=\"e\">x</p>\n"
+    assert rewrite.fixed("<script>a<") == "<script>a<\n"
