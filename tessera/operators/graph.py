@@ -163,6 +163,101 @@ def ancestor_verdict(t: Tables, tag: str, root: str = "app/views") -> DataFrame:
     return seen.groupBy("doc_id").agg(F.when(F.bool_and("inside"), "always").when(F.bool_or("inside"), "mixed").otherwise("never").alias("verdict"))
 
 
+def cycles(edge: DataFrame) -> DataFrame:
+    """The edges (doc_id, callee) whose callee leads back to the caller."""
+    core, count = edge, edge.count()
+    while True:
+        # what lies on a cycle is a caller and a callee
+        core = checkpoint(core.join(core.select(F.col("callee").alias("doc_id")).distinct(), "doc_id", "left_semi").join(core.select(F.col("doc_id").alias("callee")).distinct(), "callee", "left_semi").select("doc_id", "callee"))
+        if (now := core.count()) == count or not now:
+            break
+        count = now
+    reach = frontier = core
+    step = core.select(F.col("doc_id").alias("callee"), F.col("callee").alias("next"))
+    while not frontier.isEmpty():
+        further = frontier.join(step, "callee").select("doc_id", F.col("next").alias("callee")).distinct()
+        frontier = checkpoint(further.join(reach, ["doc_id", "callee"], "left_anti"))
+        reach = checkpoint(reach.unionByName(frontier))
+    return core.join(reach.select(F.col("callee").alias("doc_id"), F.col("doc_id").alias("callee")), ["doc_id", "callee"], "left_semi")
+
+
+def partial_verdict(t: Tables, tag: str, root: str = "app/views") -> DataFrame:
+    """(doc_id, verdict) of every partial: whether its callers render it inside ``tag``: always, never, mixed or unknown.
+
+    A partial that nothing renders has no known surroundings.  Below one, or on
+    a cycle of renders or below that, what stands around is known only in part:
+    there the tag may be found, but its absence is unknown.
+    """
+    site = checkpoint(_sites(t, root))
+    within = site.select("caller", "callee", F.array_contains("around", tag).alias("within")).distinct()
+    partials = t.docs.where(is_partial(F.col("path"))).select("doc_id")
+    uncalled = checkpoint(partials.join(site.select(F.col("callee").alias("doc_id")).distinct(), "doc_id", "left_anti"))
+    roots = t.docs.where(~is_partial(F.col("path"))).select("doc_id").unionByName(uncalled)
+    frontier = checkpoint(roots.select("doc_id", F.lit(False).alias("inside")))
+    seen = frontier.where("false")
+    while True:
+        step = frontier.join(within, F.col("doc_id") == F.col("caller")).select(F.col("callee").alias("doc_id"), (F.col("inside") | F.col("within")).alias("inside")).distinct()
+        frontier = checkpoint(step.join(seen, ["doc_id", "inside"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = checkpoint(seen.unionByName(frontier))
+    e = site.select(F.col("caller").alias("doc_id"), "callee").distinct()
+    open_ = frontier = checkpoint(uncalled.unionByName(cycles(e).select("doc_id")).distinct())
+    while not frontier.isEmpty():
+        frontier = checkpoint(frontier.join(e, "doc_id").select(F.col("callee").alias("doc_id")).distinct().join(open_, "doc_id", "left_anti"))
+        open_ = checkpoint(open_.unionByName(frontier))
+    found = seen.groupBy("doc_id").agg(F.bool_and("inside").alias("all_in"), F.bool_or("inside").alias("some_in"))
+    rows = partials.join(found, "doc_id", "left").join(open_.withColumn("open", F.lit(True)), "doc_id", "left")
+    verdict = F.when(F.col("all_in").isNull(), "unknown").when(F.col("all_in"), "always").when(F.col("some_in"), "mixed").when(F.col("open"), "unknown").otherwise("never")
+    return rows.select("doc_id", verdict.alias("verdict"))
+
+
+def signatures(t: Tables, root: str = "app/views") -> DataFrame:
+    """(name, locals, call_sites, keyword_rest) of every partial: locals over all callers; open where a render is dynamic or finds no file, because then not all callers are known."""
+    c = calls(t, root)
+    # whether the graph is complete is one row
+    lost = unresolved(t, root).select("doc_id").unionByName(erb.render_calls(t).where("is_dynamic or (partial is null and renderable is not null)").select("doc_id"))
+    open_ = not lost.isEmpty()
+    per = c.groupBy("name").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("locals"))))), ",").alias("locals"), F.count(F.lit(1)).alias("call_sites"))
+    return partial_index(t.docs, root).select("name").join(per, "name", "left").select("name", F.coalesce("locals", F.lit("")).alias("locals"), F.coalesce("call_sites", F.lit(0)).cast("long").alias("call_sites"), F.lit(open_).alias("keyword_rest"))
+
+
+def entry_trails(t: Tables, root: str = "app/views") -> DataFrame:
+    """(name, trail): for each partial the ways up to the templates that render it, names joined by `` > ``.
+
+    A breadth-first walk over callers that enters a partial once for each
+    start, by the first of its shortest ways; every template it meets ends a trail.
+    """
+    index = partial_index(t.docs, root)
+    names = t.docs.select("doc_id", F.coalesce(template_name(F.col("path"), root), partial_name(F.col("path"), root)).alias("label"), is_partial(F.col("path")).alias("partial"))
+    e = edges(t, root).join(names.withColumnRenamed("doc_id", "caller"), "caller")
+    e = checkpoint(e.select("callee", "caller", "label", "partial"))
+    frontier = checkpoint(index.select(F.col("doc_id").alias("start"), F.col("doc_id").alias("at"), F.array("name").alias("way")))
+    seen, trails = frontier.select("start", "at"), None
+    while True:
+        step = checkpoint(frontier.join(e, F.col("at") == F.col("callee")).select("start", F.col("caller").alias("at"), F.concat("way", F.array("label")).alias("way"), "partial"))
+        ends = step.where("not partial").select(F.expr("way[0]").alias("name"), F.array_join("way", " > ").alias("trail"))
+        trails = ends if trails is None else trails.unionByName(ends)
+        frontier = checkpoint(step.where("partial").groupBy("start", "at").agg(F.min("way").alias("way")).join(seen, ["start", "at"], "left_anti"))
+        if frontier.isEmpty():
+            return trails.distinct()
+        seen = checkpoint(seen.unionByName(frontier.select("start", "at")))
+
+
+def affected_templates(t: Tables, variable: str, root: str = "app/views") -> DataFrame:
+    """Templates that show ``variable``, under whatever name it reaches them."""
+    return state_flow(t, variable, root).select("doc_id").distinct()
+
+
+def layout_sites(t: Tables, root: str = "app/views") -> DataFrame:
+    """(caller, callee, layout): each template and the first of its layout candidates that is a file."""
+    files = t.docs.select(F.col("doc_id").alias("callee"), template_name(F.col("path"), root).alias("layout"), template_rank(F.col("path")).alias("rank"), "path").where("layout like 'layouts/%'")
+    best = files.groupBy("layout").agg(F.min_by("callee", F.struct("rank", "path")).alias("callee"))
+    found = layout_candidates(t.docs, root).join(best, "layout").where("doc_id <> callee")
+    views = t.docs.where(~template_name(F.col("path"), root).startswith("layouts/")).select("doc_id")
+    return found.join(views, "doc_id").groupBy(F.col("doc_id").alias("caller")).agg(F.min(F.struct("pos", "layout", "callee")).alias("x")).select("caller", "x.callee", "x.layout")
+
+
 def inferred_signature(t: Tables, root: str = "app/views") -> DataFrame:
     """(name, locals): names of locals over all callers, sorted, comma-joined."""
     c = calls(t, root).select("name", F.explode_outer(F.map_keys("locals")).alias("local"))

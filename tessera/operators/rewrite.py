@@ -235,24 +235,6 @@ def pipeline(c: Column, *changes: Callable[[str], str]) -> Column:
     return rewritten(c, every)
 
 
-def _cycles(edge: DataFrame) -> DataFrame:
-    """The edges (doc_id, callee) whose callee leads back to the caller."""
-    core, count = edge, edge.count()
-    while True:
-        # what lies on a cycle is a caller and a callee
-        core = graph.checkpoint(core.join(core.select(F.col("callee").alias("doc_id")).distinct(), "doc_id", "left_semi").join(core.select(F.col("doc_id").alias("callee")).distinct(), "callee", "left_semi").select("doc_id", "callee"))
-        if (now := core.count()) == count or not now:
-            break
-        count = now
-    reach = frontier = core
-    step = core.select(F.col("doc_id").alias("callee"), F.col("callee").alias("next"))
-    while not frontier.isEmpty():
-        further = frontier.join(step, "callee").select("doc_id", F.col("next").alias("callee")).distinct()
-        frontier = graph.checkpoint(further.join(reach, ["doc_id", "callee"], "left_anti"))
-        reach = graph.checkpoint(reach.unionByName(frontier))
-    return core.join(reach.select(F.col("callee").alias("doc_id"), F.col("doc_id").alias("callee")), ["doc_id", "callee"], "left_semi")
-
-
 def inline_partials(t: Tables, root: str = "app/views") -> DataFrame:
     """``(doc_id, path, source)`` of all documents, with static renders that pass no locals replaced by the partial's source, its own renders replaced before.
 
@@ -262,7 +244,7 @@ def inline_partials(t: Tables, root: str = "app/views") -> DataFrame:
     index = graph.partial_index(t.docs, root).select("name", F.col("doc_id").alias("callee"))
     site = graph.calls(t, root).where("size(locals) = 0 and opening = '<%=' and collection_option is null and object_option is null").join(index, "name")
     site = graph.checkpoint(site.select("doc_id", "partial", "callee").distinct())
-    pending = graph.checkpoint(site.join(_cycles(site.select("doc_id", "callee").distinct()), ["doc_id", "callee"], "left_anti"))
+    pending = graph.checkpoint(site.join(graph.cycles(site.select("doc_id", "callee").distinct()), ["doc_id", "callee"], "left_anti"))
     out = docs.join(pending.select("doc_id").distinct(), "doc_id", "left_anti")
 
     @pandas_udf("string")

@@ -301,6 +301,53 @@ def inferred_signatures(spark, sf_dir):
     return graph.inferred_signature(_project(spark, sf_dir))
 
 
+_CALLED = "select s_suppkey % 19 from sup"
+
+
+@query(f"""with {_BASE} select cast(3000 + b as bigint) as doc_id,
+  case when b in ({_CALLED}) or (b - 20 between 0 and 5 and b - 20 in (select b from brands) and b - 20 in ({_CALLED})) then 'always' else 'unknown' end as verdict from brands
+union all select cast(1000 + r_regionkey as bigint), case when r_regionkey in (select n_regionkey from nation) then 'never' else 'unknown' end from region union all select unnest([1, 2]), unnest(['never', 'unknown'])""")
+def partial_verdicts(spark, sf_dir):
+    """Of every partial, those that nothing renders included."""
+    return graph.partial_verdict(_project(spark, sf_dir), "ul")
+
+
+@query(f"""with {_BASE}, u as (
+  select 'regions/' || {_SLUG.format('r_name')} as name, case when max(n_nationkey % 4 = 0) then 'colour,title' else 'title' end as locals, count(*) n from nation join region on n_regionkey = r_regionkey group by 1
+  union all select 'shared/footer', '', count(*) from region
+  union all select 'parts/brand_' || b, 'name', sum(n) from (select s_suppkey % 19 as b, count(*) n from sup group by 1 union all select b + 20, 1 from brands where b <= 5) group by b)
+select p.name, coalesce(locals, '') as locals, cast(coalesce(n, 0) as bigint) as call_sites, true as keyword_rest
+from (select 'shared/footer' as name union all select 'regions/' || {_SLUG.format('r_name')} from region union all select 'parts/brand_' || b from brands) p left join u using (name)""")
+def partial_signatures(spark, sf_dir):
+    """Open signatures: the project has dynamic renders."""
+    return graph.signatures(_project(spark, sf_dir))
+
+
+@query(f"""with {_BASE}, r as (select 'regions/' || {_SLUG.format('r_name')} as name, 'nations/' || n_nationkey as view from nation join region on n_regionkey = r_regionkey),
+b as (select 'parts/brand_' || (s_suppkey % 19) as name, 'suppliers/' || s_suppkey as view, s_suppkey % 19 as b from sup where s_suppkey % 19 in (select b from brands))
+select name, name || ' > ' || view as trail from r union all select 'shared/footer', 'shared/footer > ' || name || ' > ' || view from r
+union all select name, name || ' > ' || view from b union all select 'parts/brand_' || (b + 20), 'parts/brand_' || (b + 20) || ' > ' || name || ' > ' || view from b where b <= 5 and b + 20 in (select b from brands)""")
+def entry_trails(spark, sf_dir):
+    return graph.entry_trails(_project(spark, sf_dir))
+
+
+@query(f"{_REACH} select distinct cast(10000 + s_suppkey as bigint) as doc_id from sup union select cast(3000 + s_suppkey % 19 as bigint) from sup where s_suppkey % 19 in (select b from brands) union select cast(3020 + b as bigint) from brands where b <= 5 and b + 20 in (select b from brands) and b in (select s_suppkey % 19 from sup)")
+def affected_templates(spark, sf_dir):
+    return graph.affected_templates(_project(spark, sf_dir), "@supplier")
+
+
+@query("select cast(k as bigint) as caller, 1 as callee, 'layouts/nations' as layout from (select n_nationkey as k from nation) union all select 1000 + s_suppkey, 2, 'layouts/application' from supplier")
+def layout_sites(spark, sf_dir):
+    """Nations have a layout of their own, suppliers take the application's."""
+    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("app/views/nations/"), F.col("n_nationkey").cast("string"), F.lit(".html.erb")).alias("path"))
+    s = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000).alias("doc_id"), F.concat(F.lit("app/views/suppliers/"), F.col("s_suppkey").cast("string"), F.lit(".html.erb")).alias("path"))
+    n = n.withColumn("doc_id", F.col("doc_id"))
+    fixed = spark.createDataFrame([(1, "app/views/layouts/nations.html.erb"), (2, "app/views/layouts/application.html.erb")], "doc_id long, path string")
+    docs = n.unionByName(s).select(F.when(F.col("path").like("%nations%"), F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")).alias("doc_id"), "path").unionByName(fixed).withColumn("source", F.lit("x"))
+    got = graph.layout_sites(Tables(docs, keep=False))
+    return got.select(F.when(F.col("caller") >= 1_000_000, F.col("caller") - 1_000_000).otherwise(F.col("caller")).alias("caller"), F.col("callee").cast("int").alias("callee"), "layout")
+
+
 @query("select 2000 + n_nationkey as doc_id, 'dynamic' as kind from nation where n_nationkey % 5 = 0 union all select 2000 + n_nationkey, 'implicit' from nation where n_nationkey % 6 = 0")
 def render_kinds(spark, sf_dir):
     c = erb.render_calls(_project(spark, sf_dir))

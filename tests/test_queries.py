@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "tag_open_counts", "tag_balance", "links", "token_round_trip", "missing_close_b", "extract_both", "extract_ruby_bytes", "lint_offenses", "lint_cases", "lint_gate", "lint_suppressed", "lint_unknown_names", "render_edges",
-    "partials_unresolved", "templates_reachable", "partials_unused", "strict_local_mismatches", "unused_strict_locals", "inferred_signatures", "ancestor_verdicts", "state_flow", "diff_summary", "class_sort",
+    "partials_unresolved", "templates_reachable", "partials_unused", "strict_local_mismatches", "unused_strict_locals", "inferred_signatures", "ancestor_verdicts", "partial_verdicts", "partial_signatures", "entry_trails", "layout_sites", "state_flow", "diff_summary", "class_sort",
     "helpers_to_html", "html_to_helpers", "lint_autofix", "inlined_partials", "nesting_validator", "project_status", "sql_functions", "indentation", "format_templates", "auto_close", "unified_diff", "stream_changes", "escape_html",
 ]
 
