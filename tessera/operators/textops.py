@@ -310,3 +310,13 @@ def compile_tokens(source: str | None) -> list[tuple[str, str]]:
                 out.append(["text", value])
         i += 1
     return [(k, v) for k, v in out]
+
+
+def compiled(c: Column) -> Column:
+    """The compile steps of a source as one text, kind(text) after kind(text)."""
+
+    @pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: "".join(f"{kind}({text})" for kind, text in compile_tokens(x)))
+
+    return run(c)

@@ -15,7 +15,7 @@ from tessera.operators import project as reports
 from tessera.operators.lexer import tokens
 from tessera.operators.parser import Options
 from tessera.operators.tables import Tables
-from tessera.plans import cases, fragments
+from tessera.plans import cases, fragments, shapes
 from tessera.plans.project import project
 from tessera.session import prepare, remove, shared_folder, spread
 
@@ -554,3 +554,144 @@ def stream_changes(spark, sf_dir):
     for part in ("in", "state"):
         remove(spark, f"{folder}/{part}")
     return spark.read.parquet(f"{folder}/out").where("kind = 'modified'").select("seq", "type")
+
+
+# -- short sources and what reading them must give
+def _shapes(spark, sf_dir, rows, *names) -> DataFrame:
+    return shapes.corpus(_read(spark, sf_dir, "part"), rows, *(names or ("source",)))
+
+
+def _in_order(rows: DataFrame, order: str | list[str], text, sep: str = " ") -> DataFrame:
+    """(doc_id, found): one text of a document's rows in order; documents here have few."""
+    by = [order] if isinstance(order, str) else order
+    listed = F.array_sort(F.collect_list(F.struct(*by, text.alias("_text"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["_text"]), sep).alias("found"))
+
+
+@query(shapes.expected_sql(shapes.TOKENS, "found"))
+def token_shapes(spark, sf_dir):
+    return _in_order(tokens(_shapes(spark, sf_dir, shapes.TOKENS)).where("type <> 'EOF'"), "idx", F.col("type"))
+
+
+@query(shapes.expected_sql(shapes.ERRORS, "found"))
+def error_shapes(spark, sf_dir):
+    e = Tables(_shapes(spark, sf_dir, shapes.ERRORS), keep=False).errors
+    return _in_order(e, "pos", F.format_string("%s@%d:%d", "name", "line", "column"))
+
+
+@query(shapes.expected_sql(shapes.NODES, "found"))
+def node_shapes(spark, sf_dir):
+    n = Tables(_shapes(spark, sf_dir, shapes.NODES), keep=False).nodes
+    return _in_order(n, "node_id", F.format_string("%d:%s:%s", "depth", "type", F.when(F.col("tag") != "", F.col("tag")).otherwise(F.col("control"))))
+
+
+@query(shapes.expected_sql(shapes.ATTRIBUTES, "found"))
+def attribute_shapes(spark, sf_dir):
+    a = Tables(_shapes(spark, sf_dir, shapes.ATTRIBUTES), keep=False).attributes
+    return _in_order(a, ["node_id", "pos"], F.concat_ws("|", "name", F.coalesce("value", F.lit("-")), "quote", "equals"))
+
+
+@query(shapes.expected_sql(shapes.EXTRACTS, "ruby", "commented", "html"))
+def extract_shapes(spark, sf_dir):
+    d = _shapes(spark, sf_dir, shapes.EXTRACTS)
+    return d.select("doc_id", extract.extract_ruby("source").alias("ruby"), extract.extract_ruby("source", comments=True).alias("commented"), extract.extract_html("source").alias("html"))
+
+
+@query(shapes.expected_sql(shapes.CHANGES, "found"))
+def change_shapes(spark, sf_dir):
+    pairs = _shapes(spark, sf_dir, shapes.CHANGES, "old", "new").withColumnRenamed("doc_id", "pair_id")
+    return _in_order(diff.diff_pairs(pairs).withColumnRenamed("pair_id", "doc_id"), "op_index", F.col("type"))
+
+
+@query(shapes.expected_sql(shapes.COMPILED, "found"))
+def compile_shapes(spark, sf_dir):
+    return _shapes(spark, sf_dir, shapes.COMPILED).select("doc_id", textops.compiled(F.col("source")).alias("found"))
+
+
+@query(shapes.expected_sql(shapes.LAYOUTS, "found"))
+def layout_shapes(spark, sf_dir):
+    return _shapes(spark, sf_dir, shapes.LAYOUTS).select("doc_id", textops.formatted(F.col("source")).alias("found"))
+
+
+@query(shapes.expected_sql(shapes.FIXES, "found"))
+def fix_shapes(spark, sf_dir):
+    return _shapes(spark, sf_dir, shapes.FIXES).select("doc_id", rewrite.rewritten(F.col("source"), rewrite.fixed).alias("found"))
+
+
+@query("select p_partkey as doc_id from part join (values " + ", ".join(f"({i})" for i, (a, b) in enumerate(shapes.LAYOUTS) if a != b) + f") v(i) on p_partkey % {len(shapes.LAYOUTS)} = i")
+def format_check_shapes(spark, sf_dir):
+    """Documents that formatting would change."""
+    return textops.would_change(_shapes(spark, sf_dir, shapes.LAYOUTS))
+
+
+@query("""select doc_id,
+  replace(replace(replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(10), '&#10;'), chr(13), '&#13;'), chr(9), '&#9;') as attribute,
+  replace(replace(replace(replace(replace(replace(t, '\\', '\\\\'), '''', '\\'''), '"', '\\"'), '</', '<\\/'), chr(10), '\\n'), chr(13), '\\r') as script
+from (select p_partkey as doc_id, 'a' || p_partkey || chr(10) || chr(9) || '"b'' </x> & \\ c' || chr(13) as t from part)""")
+def escapes(spark, sf_dir):
+    t = F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit("\n\t\"b' </x> & \\ c\r"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), textops.escape_attribute(t).alias("attribute"), textops.escape_javascript(t).alias("script"))
+
+
+@query("select p_partkey as doc_id, 'w' || p_partkey || '\\:x\\;y-z_\\{\\}' as style from part")
+def escapes_css(spark, sf_dir):
+    t = F.concat(F.lit("w"), F.col("p_partkey").cast("string"), F.lit(":x;y-z_{}"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), textops.escape_css(t).alias("style"))
+
+
+# -- reports of a lint run
+def _images(spark, sf_dir) -> Tables:
+    """Documents with p_partkey % 3 images without alternative text, one on each line; every fifth is ignored as a whole."""
+    k = F.col("p_partkey")
+    body = F.concat(F.when(k % 5 == 0, named("<%# {word}:linter ignore %>\n")).otherwise("x\n"), F.repeat(F.lit('<img src="a">\n'), (k % 3).cast("int")))
+    return Tables(_read(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(F.lit("p/"), k.cast("string")).alias("path"), body.alias("source")))
+
+
+_IMAGES = lint.Config(only=("html-img-require-alt",), gate=False)
+_FOUND = "select p_partkey as doc_id, 'html-img-require-alt' as rule, 'warning' as severity, 1 + unnest(range(1, 1 + p_partkey % 3)) as line, 0 as col, '`<img>` needs `alt`' as message from part where p_partkey % 5 <> 0"
+
+
+@query(f"select rule, severity, count(*) as n, count(distinct doc_id) as docs from ({_FOUND}) group by rule, severity")
+def lint_by_rule(spark, sf_dir):
+    """Whole-file ignores leave nothing of a document."""
+    return lint.by_rule(lint.offenses(_images(spark, sf_dir), _IMAGES))
+
+
+@query(f"select doc_id || ':' || line || ':' || col || ' ' || severity || ' ' || message || ' [' || rule || ']' as report from ({_FOUND})")
+def lint_simple_report(spark, sf_dir):
+    return lint.simple_report(lint.offenses(_images(spark, sf_dir), _IMAGES))
+
+
+@query(f"""select '{{"doc_id":' || doc_id || ',"rule":"' || rule || '","severity":"' || severity || '","line":' || line || ',"column":' || col || ',"message":"' || message || '"}}' as json from ({_FOUND})""")
+def lint_json_report(spark, sf_dir):
+    return lint.json_report(lint.offenses(_images(spark, sf_dir), _IMAGES))
+
+
+@query(f"select min(doc_id) as doc_id, rule from ({_FOUND}) group by rule")
+def lint_once_per_run(spark, sf_dir):
+    return lint.once_per_run(lint.offenses(_images(spark, sf_dir), _IMAGES), ("html-img-require-alt",)).select("doc_id", "rule")
+
+
+@query(f"select doc_id, cast(line as int) as line, cast(row_number() over (partition by doc_id order by line) as int) as n from ({_FOUND})")
+def lint_ranked(spark, sf_dir):
+    return lint.ranked(lint.offenses(_images(spark, sf_dir), _IMAGES)).select("doc_id", "line", "n")
+
+
+@query(f"select doc_id, cast(line as int) as line from ({_FOUND}) where line > 2")
+def lint_new_only(spark, sf_dir):
+    """Offenses that an earlier run, which saw the first line of each document alone, does not have."""
+    found = lint.offenses(_images(spark, sf_dir), _IMAGES)
+    return lint.new_only(found.where("line <= 2"), found).select("doc_id", "line")
+
+
+@query(f"select doc_id, cast(line as int) as line from ({_FOUND}) where doc_id % 2 = 0")
+def lint_levels(spark, sf_dir):
+    """Severities set by the project, the level that fails a run, and a path pattern that excludes a rule."""
+    config = lint.Config(only=("html-img-require-alt",), gate=False, exclude={"html-img-require-alt": "p/[0-9]*[13579]$"}, severities={"html-img-require-alt": "info"})
+    found = lint.offenses(_images(spark, sf_dir), config)
+    return found.where(lint.at_least(F.col("severity"), "info") & ~lint.at_least(F.col("severity"), "warning")).select("doc_id", "line")
+
+
+@query(f"with {_BASE} select 10000 + s_suppkey as doc_id, 'parts/brand_' || (s_suppkey % 19) as name from sup where s_suppkey % 19 not in (select b from brands)")
+def render_validator(spark, sf_dir):
+    return reports.render_validation(_project(spark, sf_dir)).select("doc_id", "name")
