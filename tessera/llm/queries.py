@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, embedding_dedup, html_extraction, language_id, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
-from tessera.llm._io import table
+from tessera.llm._io import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(spread_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.judge(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.report(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,21 +37,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.extract(table(spark, sf_dir, "pages"))
+    return html_extraction.extract(spread_table(spark, sf_dir, "pages"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents"))
+    return ngram_join.link(spread_table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.dedup(spread_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {
