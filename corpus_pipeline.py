@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from tessera.llm._io import columns, table
+from tessera.llm._io import columns, spread_table, table
 from tessera.session import remove, shared_folder
 
 NAMES = ("doc_id", "text", "lang", "source", "n_chars")
@@ -69,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The last one's input stays for as long as its result may be read: until the session ends.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
