@@ -246,10 +246,10 @@ def grouped(docs: DataFrame) -> DataFrame:
         .withColumn("next", F.lead("node").over(order))
         .where("leader.node != node or next != node")
     )
-    lists = checkpoint(lists.select("shingle", "node", "at", F.when(F.col("leader.node") != F.col("node"), F.col("leader")).alias("leader"), F.when(F.col("last.node") != F.col("node"), F.col("last")).alias("last")))
-    first = lists.where("leader is not null").where(viable("at", "leader.at")).select(*_pair("node", "leader.node")).unionByName(
-        lists.where("last is not null").where(viable("at", "last.at")).select(*_pair("node", "last.node"))
-    )
+    # of leader and neighbour only the node is written, and only where the two can reach T
+    partner = [F.when((F.col(f"{x}.node") != F.col("node")) & viable("at", f"{x}.at"), F.col(f"{x}.node")).alias(x) for x in ("leader", "last")]
+    lists = checkpoint(lists.select("shingle", "node", "at", *partner))
+    first = lists.where("leader is not null").select(*_pair("node", "leader")).unionByName(lists.where("last is not null").select(*_pair("node", "last")))
     first = checkpoint(first.distinct())
     links = checkpoint(verified(first, docs, rows))
     joined = components(links)
