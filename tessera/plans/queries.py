@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.directives import named
 from tessera.lint import engine as lint
 from tessera.lint.relational import directives
-from tessera.operators import diff, erb, extract, graph, rewrite, textops
+from tessera.operators import code, diff, erb, extract, graph, rewrite, textops
 from tessera.operators import project as reports
 from tessera.operators.lexer import tokens
 from tessera.operators.parser import Options
@@ -494,6 +494,18 @@ def inlined_partials(spark, sf_dir):
     return rewrite.inline_partials(_project(spark, sf_dir)).where("path like '%regions/%'").select("doc_id", "source")
 
 
+@query(f"""with {_BASE}
+select 1 as doc_id, '<footer>x</footer>' || chr(10) as source union all select 2, '<footer>y</footer>' || chr(10)
+union all select 1000 + r_regionkey, '<%# locals: (title:, size: 1) %>' || chr(10) || '<section><h2><%= title %></h2>' || case when r_regionkey % 2 = 0 then '<p><%= size %></p>' else '' end || '<footer>x</footer>' || chr(10) || '</section>' || chr(10) from region
+union all select 2000 + n_nationkey, '<div class="n"><%= render "regions/' || {_SLUG.format('r_name')} || '", title: @nation' || case when n_nationkey % 4 = 0 then ', colour: 1' else '' end || ' %></div>' || chr(10)
+  || case when n_nationkey % 5 = 0 then '<%= render "shared/#{{kind}}" %>' || chr(10) else '' end || case when n_nationkey % 6 = 0 then '<%= render @items %>' || chr(10) else '' end from nation join region on n_regionkey = r_regionkey
+union all select 3000 + b, '<li><%= name %></li>' || chr(10) || case when b <= 5 then '<%= render "brand_' || (b + 20) || '", name: name %>' || chr(10) else '' end from brands
+union all select 10000 + s_suppkey, '<ul><%= render partial: \'\'parts/brand_' || (s_suppkey % 19) || '\'\', locals: {{ name: @supplier.name }} %></ul>' || chr(10) from sup""")
+def inlined_documents(spark, sf_dir):
+    """Every document of the project, also those that inlining must leave as they are."""
+    return rewrite.inline_partials(_project(spark, sf_dir)).select("doc_id", "source")
+
+
 @query("select p_partkey as doc_id, case p_partkey % 3 when 0 then 'block_in_p' when 1 then 'interactive_in_button' end as problem from part where p_partkey % 3 < 2")
 def nesting_validator(spark, sf_dir):
     k = F.col("p_partkey")
@@ -695,3 +707,62 @@ def lint_levels(spark, sf_dir):
 @query(f"with {_BASE} select 10000 + s_suppkey as doc_id, 'parts/brand_' || (s_suppkey % 19) as name from sup where s_suppkey % 19 not in (select b from brands)")
 def render_validator(spark, sf_dir):
     return reports.render_validation(_project(spark, sf_dir)).select("doc_id", "name")
+
+
+# -- what embedded code says
+def _coded(spark, sf_dir, rows) -> Tables:
+    return Tables(_shapes(spark, sf_dir, rows), keep=False)
+
+
+@query(shapes.expected_sql(shapes.ITERATIONS, "found"))
+def iteration_shapes(spark, sf_dir):
+    i = code.iterations(_coded(spark, sf_dir, shapes.ITERATIONS))
+    return _in_order(i, ["line", "column"], F.concat_ws("|", "receiver", "operator", "message", F.array_join("arguments", ";"), F.array_join("parameters", ";")))
+
+
+@query(shapes.expected_sql(shapes.BALANCE, "found"))
+def balance_shapes(spark, sf_dir):
+    return _in_order(code.balance_errors(_coded(spark, sf_dir, shapes.BALANCE)), ["line", "column"], F.col("message"))
+
+
+@query(shapes.expected_sql(shapes.DEPENDENCIES, "found"))
+def dependency_shapes(spark, sf_dir):
+    d = code.dependency_index(_coded(spark, sf_dir, shapes.DEPENDENCIES))
+    return _in_order(d, "state", F.concat("state", F.lit("="), F.array_join(F.transform("uses", lambda x: F.concat(x["line"], F.lit(":"), x["column"])), ",")))
+
+
+@query(shapes.expected_sql(shapes.SCOPES, "found"))
+def scope_shapes(spark, sf_dir):
+    t = Tables(_shapes(spark, sf_dir, shapes.SCOPES))
+    at = code.locals_at(t, t.erb.where("opening = '<%='").select("doc_id", F.col("range_from").alias("at")))
+    return _in_order(at, "at", F.when(F.size("locals") == 0, "-").otherwise(F.array_join("locals", ",")))
+
+
+@query(shapes.expected_sql(shapes.REFERENCES, "found"))
+def reference_shapes(spark, sf_dir):
+    return _in_order(code.ruby_references(_shapes(spark, sf_dir, shapes.REFERENCES)), "name", F.concat("name", F.when(F.col("dynamic"), "*").otherwise("")))
+
+
+@query(f"with {_BASE} select cast(1000 + r_regionkey as bigint) as doc_id from region union all select 3000 + b from brands where b % 2 = 1")
+def ruby_entries(spark, sf_dir):
+    """A Ruby file for each brand: odd ones render theirs, even ones only name it; all render from the folder of regions."""
+    t = _project(spark, sf_dir)
+    b = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long")
+    known = _read(spark, sf_dir, "part").select(b.alias("doc_id")).distinct()
+    verb = F.when(F.col("doc_id") % 2 == 1, "render partial: ").otherwise("puts ")
+    files = known.select("doc_id", F.concat(F.lit("def show = "), verb, F.lit("'parts/brand_"), F.col("doc_id").cast("string"), F.lit("'\n  render \"regions/#{kind}\"\n")).alias("source"))
+    return code.referenced_partials(t, files)
+
+
+@query("select page_id as doc_id from pages")
+def static_pages(spark, sf_dir):
+    """Pages hold no code, so each is one constant."""
+    return code.static_templates(_page_tables(spark, sf_dir))
+
+
+@query(f"""{_REACH} select 'templates' as metric, 2 + (select count(*) from region) + (select count(*) from nation) + (select count(*) from brands) + (select count(*) from sup) as n
+union all select 'partials', 1 + (select count(*) from region) + (select count(*) from brands) union all select 'edges', (select count(*) from edges)
+union all select 'unresolved', (select count(*) from sup where s_suppkey % 19 not in (select b from brands))
+union all select 'unused', (select count(*) from brands where 3000 + b not in (select doc_id from r)) + (select count(*) from region where 1000 + r_regionkey not in (select doc_id from r))""")
+def graph_report(spark, sf_dir):
+    return code.graph_report(_project(spark, sf_dir))

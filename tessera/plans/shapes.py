@@ -157,6 +157,54 @@ FIXES = [
     ("<%= x =%>\n", "<%= x -%>\n"),
 ]
 
+#: Source, and its iterations as receiver|operator|message|arguments|parameters.
+ITERATIONS = [
+    ("<% items.each do |x| %><%= x %><% end %>", "items|.|each||x"),
+    ("<% 3.times { %>y<% } %>", "3|.|times||"),
+    ("<% @a.b.each_slice(3) do |p, q| %>z<% end %>", "@a.b|.|each_slice|3|p;q"),
+    ("<% a&.step(10, f(2, 3)) do |i| %>z<% end %>", "a|&.|step|10;f(2, 3)|i"),
+    ("<%= form_with do |f| %>x<% end %>", ""),
+    ("<% list = rows.select(&:ok).map do |r| %>x<% end %>", "rows.select(&:ok)|.|map||r"),
+    ("<% if a.each %>x<% end %>", ""),
+]
+
+#: Source, and what in its code does not pair up.
+BALANCE = [
+    ("<%= f(a %>", "unclosed ("),
+    ("<%= a] %>", "unexpected ]"),
+    ("<%= (a] %>", "unexpected ]"),
+    ("<%= 'a %>", "unterminated string"),
+    ("<%= \"(\" %>", ""),
+    ("<% x.each { |y| %>a<% } %>", ""),
+    ("<%# ( %>", ""),
+    ("<%= f(a[1], {b: 2}) %>", ""),
+    ("<%= [1, {a: (2} %>", "unexpected }"),
+]
+
+#: Source, and its states with the tags that read them.
+DEPENDENCIES = [
+    ("<%= @a %><% if @a %>x<% end %><%= B::C %>", "@a=1:0,1:9 B::C=1:30"),
+    ("<%# locals: (t:) %><%= t %>", "t=1:19"),
+    ("<%= 'Abc @d' %><%= x.y %>", ""),
+    ("<%= @a + @a %>", "@a=1:0"),
+]
+
+#: Source, and the locals readable at each of its outputs.
+SCOPES = [
+    ("<% a = 1 %><% xs.each do |x| %><%= x %><% end %><%= a %>", "a,x a"),
+    ("<% xs.each do |x, y| %><% b = x %><%= b %><% end %><%= c %>", "b,x,y -"),
+    ("<%= d %><% d = 2 %><% if d == 3 %><%= d %><% end %>", "- d"),
+]
+
+#: Ruby source, and the partials it names; a star for a folder.
+REFERENCES = [
+    ("render partial: 'a/b'", "a/b"),
+    ('render "a/#{kind}"', "a*"),
+    ('self.partial = "c/d"', "c/d"),
+    ("x partial: 'e', render \"f\"", "e f"),
+    ("render x", ""),
+]
+
 
 def corpus(parts: DataFrame, shapes: list[tuple], *names: str) -> DataFrame:
     """``(doc_id, path, <names>)`` from ``part``: the first fields of the key's shape."""

@@ -13,6 +13,7 @@ QUICK = [
     "partials_unresolved", "templates_reachable", "partials_unused", "strict_local_mismatches", "unused_strict_locals", "inferred_signatures", "ancestor_verdicts", "partial_verdicts", "partial_signatures", "entry_trails", "layout_sites", "state_flow", "diff_summary", "class_sort",
     "helpers_to_html", "html_to_helpers", "lint_autofix", "inlined_partials", "nesting_validator", "project_status", "sql_functions", "indentation", "format_templates", "auto_close", "unified_diff", "stream_changes", "escape_html",
     "token_shapes", "error_shapes", "node_shapes", "attribute_shapes", "extract_shapes", "change_shapes", "compile_shapes", "layout_shapes", "fix_shapes", "format_check_shapes", "escapes", "escapes_css", "lint_by_rule",
+    "inlined_documents", "iteration_shapes", "balance_shapes", "dependency_shapes", "scope_shapes", "reference_shapes", "ruby_entries", "static_pages", "graph_report",
     "lint_simple_report", "lint_json_report", "lint_once_per_run", "lint_ranked", "lint_new_only", "lint_levels",
 ]
 
