@@ -62,7 +62,7 @@ def folding_ranges(t: Tables) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL table functions ``lex(source)``, ``parse_errors(source)`` and ``tree_diff(old, new)``."""
+    """SQL table functions ``lex(source)``, ``parse_errors(source)`` (every error of a source) and ``tree_diff(old, new)``."""
 
     @udtf(returnType="idx int, type string, value string, range_from int, range_to int")
     class Lex:
@@ -75,9 +75,9 @@ def register(spark: SparkSession) -> None:
     @udtf(returnType="name string, message string, line int, col int")
     class ParseErrors:
         def eval(self, source: str):
-            from tessera.operators.parser import parse
+            from tessera.operators.parser import Options, parse
 
-            for r in parse(source):
+            for r in parse(source, Options(max_errors=1 << 30)):
                 if r["kind"] == "error":
                     yield r["name"], r["message"], r["line"], r["column"]
 

@@ -227,3 +227,12 @@ def test_fixes_keep_code_and_preformatted_text():
         assert rewrite.fixed(kept) == kept
     assert rewrite.fixed("<PRE>a  \n</PRE>  \n<P lang='e'>x</P>") == "<pre>a  \n</pre>\n<p lang=\"e\">x</p>\n"
     assert rewrite.fixed("<script>a<") == "<script>a<\n"
+
+
+def test_table_function_returns_every_error(spark):
+    from tessera.operators import project
+    from tessera.session import prepare
+
+    project.register(prepare(spark))
+    got = spark.sql("select count(*) as n, count(distinct line) as lines from parse_errors(repeat('<b>\n', 40))").first()
+    assert tuple(got) == (40, 40)
