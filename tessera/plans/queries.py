@@ -51,8 +51,8 @@ def _page_tables(spark, sf_dir, keep: bool = False, **options) -> Tables:
     return Tables(_pages(spark, sf_dir), options=Options(**options) if options else None, keep=keep)
 
 
-def _markup(spark, sf_dir, keep: bool = True) -> Tables:
-    return Tables(fragments.corpus(_read(spark, sf_dir, "part")), keep=keep)
+def _markup(spark, sf_dir, keep: bool = True, apart: bool = False) -> Tables:
+    return Tables(fragments.corpus(spread(_read(spark, sf_dir, "part").select("p_partkey"))), keep=keep, apart=apart)
 
 
 def _project(spark, sf_dir) -> Tables:
@@ -156,7 +156,7 @@ def extract_both(spark, sf_dir):
 @query(f"select doc_id, rule, count(*) n from ({fragments.expected_sql()}) group by doc_id, rule")
 def lint_offenses(spark, sf_dir):
     """Offenses of documents that break rules at known keys, on the recovered tree."""
-    found = lint.offenses(_markup(spark, sf_dir), lint.Config(only=fragments.RULES, gate=False))
+    found = lint.offenses(_markup(spark, sf_dir, apart=True), lint.Config(only=fragments.RULES, gate=False))
     return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -236,3 +236,46 @@ def test_table_function_returns_every_error(spark):
     project.register(prepare(spark))
     got = spark.sql("select count(*) as n, count(distinct line) as lines from parse_errors(repeat('<b>\n', 40))").first()
     assert tuple(got) == (40, 40)
+
+
+LINES = st.lists(st.sampled_from(["<div>", "</div>", "<ul><li>x</ul>", "<li>y", "</li>", "<% if a %>", "<% else %>", "<% end %>", "<% if a %>b<% else %><p id='i'>c</p><% end %>", "<p id='i'>d</p>", "<p x='>", "<p y=\"'\">z</p>", "plain", "<!-- c", "-->", "<!doctype html", "<!doctype html>", "<script>", "</script>", "<%= x", "%>", "<b>", "</b>", "</", "é < 3 & <i>t</i> %>", "<img a=", "<?xml"]), max_size=14)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(LINES, st.sampled_from(["\n", "\r\n", "\n\n"]))
+def test_pieces_parse_like_the_whole(lines_, end):
+    from tessera.operators.lexer import lines
+    from tessera.operators.parser import pieces
+
+    source = end.join(lines_) + end
+    parts = pieces(source, {})
+    assert "".join(parts) == source
+    seen = ("kind", "depth", "type", "tag", "raw", "name", "value", "content", "opening", "closing", "control", "close", "attr", "direct_text", "child_tags", "accessible", "message", "column", "ancestors", "line")
+    shown = lambda r, above: repr([r[n] + above if n == "line" else r.get(n) for n in seen if n != "message"])
+    got, above = [], 0
+    for part in parts:
+        got += [(r["kind"], shown(r, above)) for r in parse(part, Options(max_errors=1 << 30))]
+        above += lines(part)
+    want = [(r["kind"], shown(r, 0)) for r in parse(source, Options(max_errors=1 << 30))]
+    for kind in ("node", "attr", "erb", "error"):
+        assert [x for k, x in got if k == kind] == [x for k, x in want if k == kind]
+
+
+def test_rules_on_pieces_find_what_rules_on_documents_find(spark):
+    import pathlib
+
+    from tessera.plans import fragments
+    from tessera.session import shared_folder
+
+    two = "<p id='a'>x</p>\n" * 2 + "<% if x %><p id='b'>x</p><% else %><p id='b'>y</p><% end %>\n" * 2 + "<% items.each do |thing| %>y<% end %>\n<%= thing %>\n"
+    extra = [(i, f"app/_{i}.html.erb", s) for i, s in enumerate([None, "", "text\n", two, "<% items.each do |thing| %>y<% end %>\n" + two, "<b>\n" + two, "<head><meta name='a'></head>\n" * 3, "<img>\n<img> <%# tpl:disable all %>\n<img>\n"])]
+    parts = spark.range(100, 160).select("id").withColumnRenamed("id", "p_partkey")
+    docs = spark.createDataFrame(extra, "doc_id long, path string, source string").unionByName(fragments.corpus(parts))
+    found = lambda t: sorted(map(tuple, lint.offenses(t, lint.Config(only=only, gate=False)).collect()))
+    only = ("html-img-require-alt", "html-no-duplicate-ids", "html-no-duplicate-meta-names", "erb-no-unused-block-argument", "erb-no-unused-local-variable", "erb-no-trailing-whitespace", "html-no-unescaped-entities", "parser-no-errors")
+    taken = Tables(docs, apart=True)
+    assert found(taken) == found(Tables(docs))
+    # the pieces, not the documents, are what is parsed
+    assert taken.local.docs.count() < 250 and taken.places.select("doc_id").distinct().count() == 66
+    taken.drop()
+    assert not any(x.name.startswith("places-") for x in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*"))
