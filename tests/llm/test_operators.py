@@ -531,3 +531,17 @@ def test_words_of_contract():
     got = [w.decode() for w in decontamination.words(text.encode())]
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     assert got == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def test_url_models_count_every_labelled_row(spark):
+    n = 30_000
+    known = spark.range(n).select(F.concat(F.lit("http://"), F.when(F.col("id") % 2 == 0, "a.com/en/").otherwise("b.net/de/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"), F.col("id").alias("row"))
+    model = url_filter.fit(known.repartition(3))
+    for m in (model.accepted, model.rejected):
+        # 23 characters and the end; a fifth of the rows calibrates
+        rows = m.next[""][0] / 23
+        assert rows == int(rows) and abs(rows - n / 2 * 0.8) < 400
+    assert model.verdict("http://b.net/de/999999") == "allow" and model.verdict("http://a.com/en/999999") == "block"
+    assert url_filter.threshold([(-5, "block", 3), (-5, "allow", 1), (7, "allow", 4)]) == (-4 + 7) / 2 / 1000
+    few = url_filter.fit(known.limit(4))
+    assert few.verdict("http://b.net/de/999999") == "allow" and few.verdict("http://a.com/en/999999") == "block"
