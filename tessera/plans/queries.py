@@ -170,7 +170,7 @@ def lint_cases(spark, sf_dir):
 
 @query(f"select rule, count(*) n, count(distinct doc_id) docs from ({fragments.expected_sql()}) group by rule order by n desc, rule limit 5")
 def most_violated_rules(spark, sf_dir):
-    return lint.most_violated(lint.offenses(_markup(spark, sf_dir), lint.Config(only=fragments.RULES, gate=False)))
+    return lint.most_violated(lint.offenses(_markup(spark, sf_dir, apart=True), lint.Config(only=fragments.RULES, gate=False)))
 
 
 def _severity_sql() -> str:

@@ -279,3 +279,18 @@ def test_rules_on_pieces_find_what_rules_on_documents_find(spark):
     assert taken.local.docs.count() < 250 and taken.places.select("doc_id").distinct().count() == 66
     taken.drop()
     assert not any(x.name.startswith("places-") for x in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*"))
+
+
+@pytest.mark.parametrize("name", ["lint_offenses", "most_violated_rules"])
+def test_lint_queries_judge_pieces(spark, monkeypatch, name):
+    from tessera.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(t, config):
+        raise Seen(t.local is not None)
+
+    monkeypatch.setattr(queries.lint, "offenses", seen)
+    with pytest.raises(Seen, match="True"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
