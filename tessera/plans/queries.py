@@ -181,7 +181,7 @@ def _severity_sql() -> str:
 
 @query(_severity_sql())
 def offense_summary(spark, sf_dir):
-    return lint.counts(lint.offenses(_markup(spark, sf_dir), lint.Config(only=fragments.RULES, gate=False)))
+    return lint.counts(lint.offenses(_markup(spark, sf_dir, apart=True), lint.Config(only=fragments.RULES, gate=False)))
 
 
 @query("select page_id as doc_id, unnest(['html-no-inline-script-elements', 'html-no-style-elements', 'html-navigation-has-label', 'html-require-script-nonce']) as rule from pages")

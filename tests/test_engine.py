@@ -281,7 +281,7 @@ def test_rules_on_pieces_find_what_rules_on_documents_find(spark):
     assert not any(x.name.startswith("places-") for x in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*"))
 
 
-@pytest.mark.parametrize("name", ["lint_offenses", "most_violated_rules"])
+@pytest.mark.parametrize("name", ["lint_offenses", "most_violated_rules", "offense_summary"])
 def test_lint_queries_judge_pieces(spark, monkeypatch, name):
     from tessera.plans import queries
 
