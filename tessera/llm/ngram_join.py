@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm._graph import components, lookup
 from tessera.llm._io import Batches, as_bytes, columns
 from tessera.llm._text import shingles, word_hashes
-from tessera.session import checkpoint
+from tessera.session import checkpoint, release
 
 TABLE_BITS = 20
 #: Bits of the filter by which a scan finds candidates' documents.
@@ -251,15 +251,21 @@ def grouped(docs: DataFrame) -> DataFrame:
     lists = checkpoint(lists.select("shingle", "node", "at", *partner))
     first = lists.where("leader is not null").select(*_pair("node", "leader")).unionByName(lists.where("last is not null").select(*_pair("node", "last")))
     first = checkpoint(first.distinct())
+    # what only earlier queries read goes before more is written; the postings' shuffle is the largest
+    release(docs.sparkSession)
     links = checkpoint(verified(first, docs, rows))
     joined = components(links)
+    release(docs.sparkSession)
     # lists that still hold several components; their pairs across components that can reach T
     member = lists.select("shingle", "node", "at").distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader")
     open_ = member.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
     member = checkpoint(member.join(open_, "shingle", "left_semi"))
+    del lists, open_
     other = member.select("shingle", F.col("node").alias("node2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
     more = member.join(other, "shingle").where("component < component2").where(viable("at", "at2")).select(*_pair("node", "node2")).distinct().join(first, ["a", "b"], "left_anti")
     more = checkpoint(more)
+    del member, other
+    release(docs.sparkSession)
     if more.take(1):
         links = links.unionByName(verified(more, docs, rows))
         joined = components(links)

@@ -97,3 +97,19 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)}
+
+
+def test_finished_shuffles_are_deleted_during_the_join(spark, monkeypatch):
+    sc = spark.sparkContext._jsc.sc()
+    left, release = [], ngram_join.release
+
+    def watched(session):
+        left.append((sc.env().mapOutputTracker().shuffleStatuses().size(), sc.newShuffleId()))
+        release(session)
+
+    monkeypatch.setattr(ngram_join, "release", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 5}x{k}" for k in range(40 + i % 3))) for i in range(60)], "doc_id long, text string")
+    assert ngram_join.link(docs).select("component_id").distinct().count() == 5
+    # of all shuffles made so far, those that still are there
+    (_, first), (live, made) = left[0], left[-1]
+    assert first < made and live < made - first
